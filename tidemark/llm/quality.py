@@ -1,12 +1,12 @@
 """Weak supervision for document quality, in DataFrame expressions only.
 
-Rules on counts of a text vote good (1) or bad (-1) or abstain (0). Expectation-maximisation over the votes
-of all documents estimates, without labels, the share of good documents and each rule's two accuracies (how
-often it says good of a good document and bad of a bad one, where it votes). A document's posterior
-probability of being good replaces the demand that all rules pass.
+Rules on counts of a text vote good (1) or bad (-1) or abstain (0). A rule that knows one way to be bad
+abstains where it does not see it. Expectation-maximisation over the votes of all documents estimates,
+without labels, each rule's accuracy: how often it is right where it votes. A document's posterior
+probability of being good, from even odds, replaces the demand that all rules pass.
 
-The votes of all documents are first counted by pattern: at most 3 ** len(RULES) rows whatever the input.
-The estimation runs in one expression over those rows and gives 2 * len(RULES) + 1 numbers.
+The votes of all documents are first counted by pattern: at most 2 ** len(RULES) rows whatever the input.
+The estimation runs in one expression over those rows and gives a number for each rule.
 
 Cases: null and empty text have no words and fail the base rule; repeated rows and copies count each time;
 texts of any length are handled in one row's arrays; an empty table gives the starting parameters. Columns
@@ -27,9 +27,9 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 ITERATIONS = 30
-#: Pseudo-votes that hold each accuracy near its start, and the starting parameters: a rule clears nearly all good
-#: documents but knows only one of the ways to be bad.
-PRIOR_VOTES, START_SHARE, START_ON_GOOD, START_ON_BAD = 20.0, 0.85, 0.98, 0.4
+#: Odds before any vote, pseudo-votes that hold each accuracy near its start, and the band below and above its start that
+#: it stays in, so that a rule that votes on nearly all documents can't talk down one that knows a rare fault.
+SHARE, PRIOR_VOTES, BELOW, ABOVE = 0.5, 20.0, 0.1, 0.04
 
 
 def _without(c: Column, characters: str) -> Column:
@@ -42,19 +42,25 @@ def _ratio(a: str, b: str = "n_words") -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _bad(bad: Column) -> Column:
+    return F.when(bad, -1).otherwise(0)
 
 
-#: name: (good if, bad if) on the counts; neither: the rule abstains.
+def _good(good: Column) -> Column:
+    return F.when(good, 1).otherwise(0)
+
+
+#: name: (accuracy to start from, vote on the counts)
 RULES = {
-    "length": lambda: _vote(F.col("n_words") >= 50, F.col("n_words") < 15),
-    "symbols": lambda: _vote(_ratio("n_symbols") <= 0.02, _ratio("n_symbols") > 0.1),
-    "exclamation": lambda: _vote(_ratio("n_exclamations") <= 0.02, _ratio("n_exclamations") > 0.1),
-    "capitals": lambda: _vote(_ratio("n_capital_runs") <= 0.02, _ratio("n_capital_runs") > 0.1),
-    "repeated_words": lambda: _vote(_ratio("n_repeat_words") <= 0.02, _ratio("n_repeat_words") > 0.15),
-    "repeated_lines": lambda: _vote(_ratio("n_dup_lines", "n_lines") <= 0.05, _ratio("n_dup_lines", "n_lines") > 0.3),
-    "word_length": lambda: _vote(_ratio("word_chars").between(3, 10), ~_ratio("word_chars").between(2, 16)),
+    "too_short": (0.9, lambda: _bad(F.col("n_words") < MIN_WORDS)),
+    "symbols": (0.95, lambda: _bad(_ratio("n_symbols") > 0.1)),
+    "exclamations": (0.95, lambda: _bad(_ratio("n_exclamations") > 0.1)),
+    "capitals": (0.95, lambda: _bad(_ratio("n_capital_runs") > 0.1)),
+    "repeated_words": (0.95, lambda: _bad(_ratio("n_repeat_words") > 0.2)),
+    "repeated_lines": (0.9, lambda: _bad(_ratio("n_dup_lines", "n_lines") > 0.5)),
+    "word_length": (0.9, lambda: _bad((F.col("n_words") > 0) & ~_ratio("word_chars").between(2, 16))),
+    "plain": (0.95, lambda: _good((F.col("n_words") > 0) & (_ratio("n_symbols") <= 0.03) & (_ratio("n_exclamations") <= 0.05) & (_ratio("n_capital_runs") <= 0.03) & (_ratio("n_repeat_words") <= 0.1) & (_ratio("n_dup_lines", "n_lines") <= 0.5))),
+    "varied": (0.65, lambda: _good((F.col("n_words") >= MIN_WORDS) & (_ratio("n_repeat_words") <= 0.02))),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations", "n_capital_runs")
 
@@ -106,49 +112,45 @@ def count_columns(text_col: Column) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Model:
-    """The share of good documents, and each rule's accuracy on good and on bad ones, in the order of RULES."""
+    """Each rule's accuracy, in the order of RULES."""
 
-    share: float
-    on_good: tuple[float, ...]
-    on_bad: tuple[float, ...]
+    accuracy: tuple[float, ...]
 
-    def posterior(self, votes: Column) -> Column:
-        return _posterior(votes, F.lit(self.share), [F.lit(x) for x in self.on_good], [F.lit(x) for x in self.on_bad])
+    def posterior(self) -> Column:
+        return _posterior(votes(), [F.lit(x) for x in self.accuracy])
 
 
 def votes() -> Column:
-    return F.array(*(rule().cast("int") for rule in RULES.values()))
+    return F.array(*(rule().cast("int") for _, rule in RULES.values()))
 
 
-def _posterior(v: Column, share: Column, on_good: list[Column], on_bad: list[Column]) -> Column:
-    good, bad = share, 1 - share
-    for k, (a, b) in enumerate(zip(on_good, on_bad)):
+def _posterior(v: Column, accuracy: list[Column]) -> Column:
+    good, bad = F.lit(SHARE), F.lit(1 - SHARE)
+    for k, a in enumerate(accuracy):
         good = good * F.when(v[k] == 1, a).when(v[k] == -1, 1 - a).otherwise(1.0)
-        bad = bad * F.when(v[k] == -1, b).when(v[k] == 1, 1 - b).otherwise(1.0)
+        bad = bad * F.when(v[k] == -1, a).when(v[k] == 1, 1 - a).otherwise(1.0)
     return good / (good + bad)
 
 
 def fit(counted: DataFrame) -> Model:
     """Estimates the model on counts of all documents."""
-    k = len(RULES)
+    start = [a for a, _ in RULES.values()]
     patterns = counted.groupBy(votes().alias("v")).agg(F.count("*").cast("double").alias("n"))
     seen = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("seen"))
 
-    def round_(state: Column, seen: Column) -> Column:
-        good, bad = [state[1 + j] for j in range(k)], [state[1 + k + j] for j in range(k)]
-        weighed = F.transform(seen, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), (x["n"] * _posterior(x["v"], state[0], good, bad)).alias("g")))
+    def again(state: Column, seen: Column) -> Column:
+        weighed = F.transform(seen, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), _posterior(x["v"], [state[j] for j in range(len(start))]).alias("g")))
 
         def told(w: Column) -> Column:
             total = lambda f: F.aggregate(w, F.lit(0.0), lambda a, x: a + f(x))
-            share = (total(lambda x: x["g"]) + PRIOR_VOTES * START_SHARE) / (total(lambda x: x["n"]) + PRIOR_VOTES)
-            on = lambda j, sign, part, first: (total(lambda x: F.when(x["v"][j] == sign, part(x)).otherwise(0.0)) + PRIOR_VOTES * first) / (total(lambda x: F.when(x["v"][j] != 0, part(x)).otherwise(0.0)) + PRIOR_VOTES)
-            return F.array(share, *(on(j, 1, lambda x: x["g"], START_ON_GOOD) for j in range(k)), *(on(j, -1, lambda x: x["n"] - x["g"], START_ON_BAD) for j in range(k)))
+            right = lambda j: total(lambda x: x["n"] * F.when(x["v"][j] == 1, x["g"]).when(x["v"][j] == -1, 1 - x["g"]).otherwise(0.0))
+            voted = lambda j: total(lambda x: x["n"] * F.abs(x["v"][j]))
+            return F.array(*(F.least(F.greatest((right(j) + PRIOR_VOTES * a) / (voted(j) + PRIOR_VOTES), F.lit(a - BELOW)), F.lit(a + ABOVE)) for j, a in enumerate(start)))
 
         return let(weighed, told)
 
-    start = F.array(F.lit(START_SHARE), *([F.lit(START_ON_GOOD)] * k), *([F.lit(START_ON_BAD)] * k))
-    state = seen.select(F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), start, lambda a, _: round_(a, F.col("seen"))).alias("state")).first()["state"]
-    return Model(state[0], tuple(state[1 : 1 + k]), tuple(state[1 + k :]))
+    state = seen.select(F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), F.array(*map(F.lit, start)), lambda a, _: again(a, F.col("seen"))).alias("state")).first()["state"]
+    return Model(tuple(state))
 
 
 def base_failed() -> Column:
@@ -157,7 +159,7 @@ def base_failed() -> Column:
 
 def judged(counted: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """counted with base_failed, posterior and kept."""
-    return counted.withColumn("base_failed", base_failed()).withColumn("posterior", F.round(model.posterior(votes()), 6)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    return counted.withColumn("base_failed", base_failed()).withColumn("posterior", F.round(model.posterior(), 6)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
