@@ -59,3 +59,18 @@ def components(prints, bits=2):
     for i, f in prints:
         least[root(f)] = min(i, least.get(root(f), i))
     return {i: least[root(f)] for i, f in prints}
+
+
+def base_pii(text):
+    text, found = text or "", []
+    luhn = lambda s: sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(s[::-1])) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    rules = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    )
+    for kind, pattern, ok in rules:
+        found += [(kind, *m.span()) for m in re.finditer(pattern, text) if ok(m)]
+    return found

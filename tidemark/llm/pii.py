@@ -1,0 +1,266 @@
+"""Personal data by weak supervision: labelers vote on candidate spans, and a classifier learns from their votes.
+
+Four base kinds are found by pattern and validity check (see ``base_spans``); they are always reported. For
+what patterns alone can't settle (telephone numbers without a country code, national identity numbers,
+bank account numbers, spelled-out e-mail addresses, personal names) broad patterns propose candidates.
+Regular-expression, gazetteer and context labelers vote for or against each candidate, base ones included, or abstain.
+Expectation-maximisation over the votes of the whole corpus estimates each labeler's reliability, its
+posteriors train a logistic classifier on the votes and the kind, and the classifier decides the candidates.
+
+A candidate enters the estimation only through its kind and votes, so what is gathered is one count for each
+of at most len(KINDS) * 3 ** len(LABELERS) patterns, whatever the size of the corpus. A text is read whole.
+
+Cases: null text counts as empty; repeated rows are handled each; an empty corpus keeps the starting
+reliabilities; spans are code points, end exclusive; added spans never overlap a base span or each other
+(the earlier, then the longer one stays). Other columns of the input are not read.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BASE_KINDS = ("email", "ip", "card", "phone")
+ADDED_KINDS = ("iban", "identity", "local_phone", "name", "spelled_email")
+KINDS = BASE_KINDS + ADDED_KINDS
+LABELERS = ("shape", "check", "gazetteer", "context_for", "context_against", "boundary")
+ITERATIONS, PRIOR_VOTES, START, LEAST, MOST = 30, 10.0, 0.8, 0.55, 0.99
+SHARES = {k: 0.6 if k in BASE_KINDS else 0.4 for k in KINDS}
+THRESHOLD = 0.6
+AROUND = 48
+
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_NUMBERS = {
+    "identity": re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
+    "local_phone": re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z-])"),
+    "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
+}
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?[\[(]at[\])]\s?[A-Za-z0-9-]+(?:\s?(?:[\[(]dot[\])]|\.)\s?[A-Za-z0-9-]+)+", re.I)
+_TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Monsieur", "Madame", "Señor", "Señora")
+_TITLED = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora)\.?\x20([A-ZÀ-Ý][\w'-]+(?:\x20[A-ZÀ-Ý][\w'-]+){0,2})")
+_TOLD = re.compile(r"(?<!\w)(?:my name is|mein Name ist|je m'appelle|me llamo|Name:|Nom:|Nombre:)\x20?([A-ZÀ-Ý][\w'-]+(?:\x20[A-ZÀ-Ý][\w'-]+){0,2})")
+_TELLS = ("my name is", "mein Name ist", "je m'appelle", "me llamo", "Name:", "Nom:", "Nombre:")
+_FIRST_NAMES = frozenset("Alice Ana Anna Antonio Carlos Carmen Claire David Elena Emma Hans Isabel James Jean John José Juan Julia Karl Laura Lucas Luis Maria Marie Mark Martin Mary Michael Miguel Paul Peter Pierre Robert Sarah Sophie Thomas William".split())
+_DOMAINS = frozenset("com org net edu gov int info io de fr es uk eu us ca au jp ch at it nl".split())
+_CUES = {
+    "email": ("mail", "contact", "correo", "courriel"),
+    "ip": ("ip", "server", "host", "address", "login"),
+    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
+    "phone": ("tel", "phone", "call", "fax", "mobile", "anruf", "appel"),
+    "local_phone": ("tel", "phone", "call", "fax", "mobile"),
+    "identity": ("ssn", "social security", "identity", "id no"),
+    "iban": ("iban", "account", "konto", "compte", "cuenta"),
+    "name": ("name", "dear", "signed", "sincerely", "contact"),
+    "spelled_email": ("mail", "contact", "write"),
+}
+_AGAINST = ("isbn", "issn", "version", "page ", "figure", "chapter", "section", "invoice", "order no", "serial", "price", "license", "licence")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        total += d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d)
+    return total % 10 == 0
+
+
+def _iban(text: str) -> bool:
+    code = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Just the matches of _EMAIL, found from their @ signs: a run of local characters is never scanned twice."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _EMAIL.match(text, start) if start < at else None
+        if m:
+            yield m.start(), m.end()
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
+
+
+def _digits(text: str) -> str:
+    return "".join(_DIGIT.findall(text))
+
+
+def proposals(text: str) -> list[tuple[str, int, int, bool]]:
+    """(kind, start, end, whether the kind's validity check holds) of all matches, failing ones included."""
+    found = [("email", a, b, True) for a, b in _emails(text)]
+    if _DIGIT.search(text):
+        for m in _IP.finditer(text):
+            found.append(("ip", *m.span(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))))
+        for m in _CARD.finditer(text):
+            if m.end() - m.start() > 7:  # shorter ones can't be cards and tell nothing
+                digits = _digits(m[0])
+                found.append(("card", *m.span(), 13 <= len(digits) <= 19 and luhn(digits)))
+        if "+" in text:
+            found += [("phone", *m.span(), 9 <= len(_digits(m[0])) <= 15) for m in _PHONE.finditer(text)]
+        for kind, pattern in _NUMBERS.items():
+            for m in pattern.finditer(text):
+                found.append((kind, *m.span(), _iban(m[0]) if kind == "iban" else m[0][:3] not in ("000", "666") if kind == "identity" else True))
+    if "at)" in text or "at]" in text or "AT)" in text or "AT]" in text:
+        found += [("spelled_email", *m.span(), True) for m in _SPELLED.finditer(text)]
+    if any(x in text for x in _TITLES):
+        found += [("name", *m.span(1), True) for m in _TITLED.finditer(text)]
+    if any(x in text for x in _TELLS):
+        found += [("name", *m.span(1), True) for m in _TOLD.finditer(text)]
+    return found
+
+
+def base_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """Base spans by kind as listed, then start."""
+    return _base(proposals(text or ""))
+
+
+def _base(found: list[tuple[str, int, int, bool]]) -> list[tuple[str, int, int]]:
+    return sorted(((k, a, b) for k, a, b, ok in found if ok and k in BASE_KINDS), key=lambda s: (KINDS.index(s[0]), s[1]))
+
+
+def labels(text: str, kind: str, start: int, end: int, ok: bool) -> str:
+    """The labelers' votes on a candidate, in the order of LABELERS: + for, - against, 0 abstains."""
+    body, before = text[start:end], text[max(0, start - AROUND) : start].lower()
+    near = before + " " + text[end : end + AROUND // 2].lower()
+    digits = sum(c in "0123456789" for c in body)
+    if kind in ("email", "spelled_email"):
+        shape = "+" if len(body) <= 254 and ".." not in body else "-"
+        known = "+" if re.split(r"[^A-Za-z]+", body)[-1].lower() in _DOMAINS else "0"
+    elif kind == "name":
+        shape = "+" if " " in body else "0"
+        known = "+" if body.split(" ")[0] in _FIRST_NAMES else "0"
+    else:
+        shape = "+" if {"ip": 7 <= len(body) <= 15, "card": digits in (15, 16), "phone": digits >= 10}.get(kind, True) else "-"
+        known = "0"
+    check = ("+" if kind not in ("name", "local_phone") else "0") if ok else "-"
+    cue = "+" if any(c in near for c in _CUES[kind]) else "0"
+    against = "-" if any(c in before for c in _AGAINST) else "0"
+    inside = (start and (text[start - 1].isalnum() or text[start - 1] in "._")) or (end < len(text) and text[end].isalnum())
+    return shape + check + known + cue + against + ("-" if inside else "+")
+
+
+def candidates(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
+    """The base spans, and (kind, start, end, votes) of every candidate."""
+    text = text or ""
+    found = proposals(text)
+    return _base(found), [(k, a, b, labels(text, k, a, b, ok)) for k, a, b, ok in found]
+
+
+def fit(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
+    """The classifier's probability for each pattern (kind, votes), from how often each occurs."""
+    keys = sorted(counts)
+    if not keys:
+        return {}
+    n = np.array([counts[k] for k in keys], dtype=float)
+    votes = np.array([[{"+": 1, "-": -1}.get(c, 0) for c in v] for _, v in keys])
+    share, accuracy = dict(SHARES), np.full(len(LABELERS), START)
+    kinds = np.array([KINDS.index(k) for k, _ in keys])
+    for _ in range(ITERATIONS):
+        prior = np.array([share[k] for k, _ in keys])
+        odds = np.log(prior / (1 - prior)) + (votes * np.log(accuracy / (1 - accuracy))).sum(axis=1)
+        posterior = 1 / (1 + np.exp(-odds))
+        right = np.where(votes > 0, posterior[:, None], 1 - posterior[:, None]) * (votes != 0)
+        accuracy = ((n[:, None] * right).sum(axis=0) + PRIOR_VOTES * START) / ((n[:, None] * (votes != 0)).sum(axis=0) + PRIOR_VOTES)
+        accuracy = accuracy.clip(LEAST, MOST)
+        for i, k in enumerate(KINDS):
+            mine = kinds == i
+            share[k] = float(np.clip(((n * posterior)[mine].sum() + PRIOR_VOTES * SHARES[k]) / (n[mine].sum() + PRIOR_VOTES), 0.1, 0.9))
+    x = np.hstack([votes > 0, votes < 0, np.eye(len(KINDS))[kinds]]).astype(float)
+    weights, rate = np.zeros(x.shape[1]), n / n.sum()
+    for _ in range(400):  # Newton steps would be fewer; these are a few thousand rows
+        p = 1 / (1 + np.exp(-x @ weights))
+        weights -= 2.0 * (x.T @ (rate * (p - posterior)) + 1e-4 * weights)
+    return dict(zip(keys, (1 / (1 + np.exp(-x @ weights))).tolist()))
+
+
+def chosen(base: list[tuple[str, int, int]], found: list[tuple[str, int, int, str]], accepted: frozenset[tuple[str, str]]) -> list[tuple[str, int, int]]:
+    """Base spans and the accepted ones of the added kinds that overlap neither them nor each other, in reporting order."""
+    taken, added = [(a, b) for _, a, b in base], []
+    for k, a, b, v in sorted((c for c in found if c[0] in ADDED_KINDS and (c[0], c[3]) in accepted), key=lambda c: (c[1], -c[2])):
+        if all(b <= x or y <= a for x, y in taken):
+            taken.append((a, b))
+            added.append((k, a, b))
+    return base + sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
+
+
+def _joined(spans) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string())])
+_FOUND = "id long, base array<struct<kind:string,start:int,end:int,votes:string>>, found array<struct<kind:string,start:int,end:int,votes:string>>"
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, base, found) of every row: its base spans, and all candidates with their votes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, found = [], []
+            for t in batch.column(1):
+                b, f = candidates(t.as_py())
+                base.append([{"kind": k, "start": x, "end": y, "votes": ""} for k, x, y in b])
+                found.append([{"kind": k, "start": x, "end": y, "votes": v} for k, x, y, v in f])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_SPAN))], names=["id", "base", "found"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _FOUND)
+
+
+def train(scanned: DataFrame) -> frozenset[tuple[str, str]]:
+    """The patterns that the classifier accepts. Gathers one count for each pattern."""
+    seen = scanned.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").count().collect()
+    return frozenset(k for k, p in fit({(r["kind"], r["votes"]): r["count"] for r in seen}).items() if p >= THRESHOLD)
+
+
+def report(scanned: DataFrame, accepted: frozenset[tuple[str, str]]) -> DataFrame:
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for base, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                spans = [(s["kind"], s["start"], s["end"]) for s in base]
+                kinds = [s[0] for s in spans]
+                every = chosen(spans, [(s["kind"], s["start"], s["end"], s["votes"]) for s in found], accepted)
+                rows.append((*(kinds.count(k) for k in BASE_KINDS), hashlib.sha256(_joined(spans).encode()).hexdigest(), _joined(every)))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            types = [pa.int64()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+
+    return scanned.mapInArrow(run, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """text with each span replaced by its kind in angle brackets; of overlapping spans the earlier is replaced and the rest of the later one too."""
+    out, at = [], 0
+    for k, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            out += [text[at:a], f"<{k.upper()}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with personal data in text_col replaced, other columns as they are; the classifier is trained on all of docs first."""
+    accepted = train(scan(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))))
+    schema, place = docs.schema, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if (t := x.as_py()) is None else masked(t, chosen(*candidates(t), accepted)) for x in batch.column(place)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return docs.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, quality, simhash
+from tidemark.llm import linededup, pii, quality, simhash
 from tidemark.llm.common import checkpointed, table
 
 
@@ -22,6 +22,11 @@ def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_spread", "n_removed", "text")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checkpointed(pii.scan(table(spark, sf_dir, "documents")))
+    return pii.report(found, pii.train(found)).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -29,6 +34,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op6_line_spread": op6_line_spread,
+    "op7_personal_data": op7_personal_data,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op6_line_spread": linededup.ORACLE_SQL}
