@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, pii, quality, simhash
+from tidemark.llm import linededup, packing, pii, quality, simhash, treebpe
 from tidemark.llm.common import checkpointed, table
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = checkpointed(quality.counts(table(spark, sf_dir, "documents")))
     kept = quality.judged(counted, quality.fit(counted))
     return kept.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
+
+
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return linededup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_spread", "n_removed", "text")
@@ -27,14 +37,20 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(found, pii.train(found)).withColumnRenamed("id", "doc_id")
 
 
+def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treebpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer()).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_spread": op6_line_spread,
     "op7_personal_data": op7_personal_data,
+    "op8_tree_bpe": op8_tree_bpe,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op6_line_spread": linededup.ORACLE_SQL}
