@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, packing, pii, quality, simhash, treebpe
+from tidemark.llm import licenses, linededup, packing, pii, quality, simhash, treebpe
 from tidemark.llm.common import checkpointed, table
 
 
@@ -41,6 +41,10 @@ def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer()).withColumnRenamed("id", "doc_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_spread": op6_line_spread,
     "op7_personal_data": op7_personal_data,
     "op8_tree_bpe": op8_tree_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op6_line_spread": linededup.ORACLE_SQL}
