@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, linededup, packing, pii, quality, simhash, treebpe
+from tidemark.llm import audio, licenses, linededup, packing, pii, quality, simhash, treebpe, warc
 from tidemark.llm.common import checkpointed, table
 
 
@@ -23,6 +23,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.read(audio.store(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    return found.withColumnsRenamed({"record_id": "page_id", "digest": "payload_sha256", "size": "n_chars"})
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
@@ -51,6 +60,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_telephony": op3_telephony,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_spread": op6_line_spread,
     "op7_personal_data": op7_personal_data,
@@ -58,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op6_line_spread": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc_revisits": warc.ORACLE_SQL, "op6_line_spread": linededup.ORACLE_SQL}
