@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, licenses, linededup, packing, pii, quality, simhash, treebpe, warc
+from tidemark.llm import audio, licenses, linededup, packing, pii, quality, simhash, treebpe, warc, wrapper
 from tidemark.llm.common import checkpointed, table
 
 
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.read(audio.store(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -60,6 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_wrapper_induction": op2_wrapper_induction,
     "op3_telephony": op3_telephony,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_best_fit_packing": op5_best_fit_packing,
