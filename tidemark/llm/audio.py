@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import quoted
+
 BLOCK = 192
 FILL = b" "
 RATE = 8000
@@ -188,7 +190,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             rows = [payload(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([wav(p) for _, p in rows], pa.binary())], names=["id", "n_bytes", "media"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "id long, n_bytes long, media binary")
 
 

@@ -16,14 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back: short lineage that survives lost executors.
-
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where that is unset (tests).
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="checkpoint-"))
+    return told or sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it back: short lineage that survives lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -40,3 +44,21 @@ def words_of(text: Column) -> Column:
     """Maximal runs of characters other than the six ASCII white-space ones; empty for null."""
     bare = trimmed(F.coalesce(text, F.lit("")))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WHITE_CLASS + "+"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """df with the columns in new computed anew; others as they are, all in their order."""
+    return df.select(*((new[c] if c in new else quoted(c)).alias(c) for c in df.columns))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import quoted
+
 THRESHOLD = 0.85
 BLOCK = 200
 
@@ -167,7 +169,7 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> dict[bytes, int]:
                     counts[w] = counts.get(w, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    seen = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    seen = docs.select(quoted(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
     return {r["word"].encode(): r["n"] for r in seen.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -182,5 +184,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             columns = list(zip(*rows)) if rows else [()] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, _TYPES.values()))], names=["id", *_TYPES])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

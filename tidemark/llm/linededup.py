@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, trimmed
+from tidemark.llm.common import checkpointed, quoted, replaced, trimmed, unused
 
 MIN_SITES = 8
 MAX_SHARE = 0.5
@@ -41,7 +41,7 @@ def _site(site: Column) -> Column:
 
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """(line): the hashes of the lines that are on at least min_sites sites."""
-    met = docs.select(_site(F.col(site_col)).alias("site"), F.explode(F.filter(_lines(F.col(text_col)), lambda x: trimmed(x) != "")).alias("text")).select("site", _hash(F.col("text")).alias("line"))
+    met = docs.select(_site(quoted(site_col)).alias("site"), F.explode(F.filter(_lines(quoted(text_col)), lambda x: trimmed(x) != "")).alias("text")).select("site", _hash(F.col("text")).alias("line"))
     spread = met.groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("about"))
     margin = max(1, round(4 * 1.04 / 2 ** (lg_k / 2) * min_sites))  # four standard errors
     spread = checkpointed(spread.where(F.col("about") >= min_sites - margin))
@@ -51,27 +51,40 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return checkpointed(clear.union(exact))
 
 
-def remove_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, lg_k: int = LG_K) -> DataFrame:
-    """docs with text_col cleaned, and n_lines (with a word), n_spread (boilerplate ones) and n_removed.
+def _judged(docs: DataFrame, text_col: str, site_col: str, min_sites: int, max_share: float, lg_k: int) -> tuple[DataFrame, str]:
+    """docs and one more column, whose name comes too: a struct of text (cleaned), n_lines, n_spread and n_removed.
 
-    Names that clash with these three are replaced. The texts that have boilerplate are listed once each by
-    their hash, so that a copied text is looked up, not carried, once for each copy.
+    The texts that have boilerplate are listed once each by their hash, so that a copied text is looked up,
+    not carried, once for each copy.
     """
     common = boilerplate(docs, text_col, site_col, min_sites, lg_k)
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    met = docs.select(key.alias("__key"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), lambda x: _hash(x)))).alias("line"))
-    hits = checkpointed(met.join(common, "line", "left_semi").groupBy("__key").agg(F.collect_set("line").alias("__hits")))
-    own = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_spread", "n_removed", "__key", "__hits"))).withColumn("__key", key)
-    both = own.join(hits, "__key", "left").drop("__key")
-    hits_ = F.coalesce(F.col("__hits"), F.array().cast("array<bigint>"))
-    lines = _lines(F.col(text_col))
+    text = quoted(text_col)
+    key, hits, out = (unused(docs, x) for x in ("__key", "__hits", "__out"))
+    hashed = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    met = docs.select(hashed.alias(key), F.explode(F.array_distinct(F.transform(_lines(text), lambda x: _hash(x)))).alias("line"))
+    listed = checkpointed(met.join(common, "line", "left_semi").groupBy(key).agg(F.collect_set("line").alias(hits)))
+    both = docs.withColumn(key, hashed).join(listed, key, "left")
+    found = F.coalesce(F.col(hits), F.array().cast("array<bigint>"))
+    lines = _lines(text)
     size_ = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(trimmed(x)))
-    spread = F.filter(lines, lambda x: F.array_contains(hits_, _hash(x)))
-    strip = (F.size(hits_) > 0) & (size_(spread) <= max_share * size_(lines))
-    n_spread = F.when(F.size(hits_) > 0, F.size(spread)).otherwise(0)
-    cleaned = F.when(strip, F.array_join(F.filter(lines, lambda x: ~F.array_contains(hits_, _hash(x))), "\n")).otherwise(F.col(text_col))
-    full = both.withColumn("__out", F.struct(cleaned.alias("text"), F.size(F.filter(lines, lambda x: trimmed(x) != "")).cast("long").alias("n_lines"), n_spread.cast("long").alias("n_spread"), F.when(strip, n_spread).otherwise(0).cast("long").alias("n_removed")))
-    return full.withColumn(text_col, F.col("__out.text")).select(*(F.col(f"`{c}`") for c in own.columns if c != "__key"), "__out.n_lines", "__out.n_spread", "__out.n_removed")
+    spread = F.filter(lines, lambda x: F.array_contains(found, _hash(x)))
+    strip = (F.size(found) > 0) & (size_(spread) <= max_share * size_(lines))
+    n_spread = F.when(F.size(found) > 0, F.size(spread)).otherwise(0)
+    cleaned = F.when(strip, F.array_join(F.filter(lines, lambda x: ~F.array_contains(found, _hash(x))), "\n")).otherwise(text)
+    told = F.struct(cleaned.alias("text"), F.size(F.filter(lines, lambda x: trimmed(x) != "")).cast("long").alias("n_lines"), n_spread.cast("long").alias("n_spread"), F.when(strip, n_spread).otherwise(0).cast("long").alias("n_removed"))
+    return both.select(*(quoted(c) for c in docs.columns), told.alias(out)), out
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, lg_k: int = LG_K) -> DataFrame:
+    """(id, n_lines with a word, n_spread of them boilerplate, n_removed, text cleaned) of every row."""
+    judged, out = _judged(docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(site_col).alias("source")), "text", "source", min_sites, max_share, lg_k)
+    return judged.select("id", *(F.col(f"{out}.{c}") for c in ("n_lines", "n_spread", "n_removed", "text")))
+
+
+def clean(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, lg_k: int = LG_K) -> DataFrame:
+    """docs with text_col cleaned, every other column as it is."""
+    judged, out = _judged(docs, text_col, site_col, min_sites, max_share, lg_k)
+    return replaced(judged, {text_col: F.col(f"{out}.text")}).drop(out)
 
 
 ORACLE_SQL = f"""

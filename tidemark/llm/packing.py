@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import treebpe
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, quoted
 
 LENGTH = 4096
 END = 1
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

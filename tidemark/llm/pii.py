@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import quoted
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "identity", "local_phone", "name", "spelled_email")
 KINDS = BASE_KINDS + ADDED_KINDS
@@ -216,7 +218,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 found.append([{"kind": k, "start": x, "end": y, "votes": v} for k, x, y, v in f])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_SPAN))], names=["id", "base", "found"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _FOUND)
+    return docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, _FOUND)
 
 
 def train(scanned: DataFrame) -> frozenset[tuple[str, str]]:
@@ -255,7 +257,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data in text_col replaced, other columns as they are; the classifier is trained on all of docs first."""
-    accepted = train(scan(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))))
+    accepted = train(scan(docs.select(F.lit(0).alias("doc_id"), quoted(text_col).alias("text"))))
     schema, place = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE, let, words_of
+from tidemark.llm.common import WHITE, let, quoted, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -86,28 +86,36 @@ def _repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(grams(w), covered)))
 
 
+def counted(text: Column) -> Column:
+    """An array of one struct of COUNTS, all long. Its parts are lambda variables and it is to be exploded, so that
+    the optimizer, which would inline a plain column wherever a rule reads it, has them computed once."""
+
+    def told(t: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
+        per_line = let(lines, lambda a: F.struct(F.size(a).alias("n"), F.size(F.array_distinct(a)).alias("kinds")))
+        per_word = let(words_of(t), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("again")))
+
+        def named(x: Column) -> Column:
+            found = {
+                "n_words": x["w"]["n"],
+                "word_chars": F.length(_without(t, WHITE)),
+                "n_symbols": F.length(t) - F.length(_without(t, SYMBOLS)),
+                "n_dup_lines": x["l"]["n"] - x["l"]["kinds"],
+                "n_repeat_words": x["w"]["again"],
+                "n_lines": x["l"]["n"],
+                "n_exclamations": F.length(t) - F.length(_without(t, "!")),
+                "n_capital_runs": F.size(F.split(t, r"\p{Lu}{4,}")) - 1,
+            }
+            return F.struct(*(found[c].cast("long").alias(c) for c in COUNTS))
+
+        return let(F.struct(per_line.alias("l"), per_word.alias("w")), named)
+
+    return F.transform(F.array(F.coalesce(text.cast("string"), F.lit(""))), told)
+
+
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, *COUNTS), all long: what the rules read of each text."""
-    return docs.select(F.col(id_col).alias("id"), *(c.cast("long").alias(n) for n, c in count_columns(F.col(text_col)).items()))
-
-
-def count_columns(text_col: Column) -> dict[str, Column]:
-    text = F.coalesce(text_col.cast("string"), F.lit(""))
-    bare = _without(text, WHITE)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    per_line = let(lines, lambda a: F.struct(F.size(a).alias("n"), F.size(F.array_distinct(a)).alias("kinds")))
-    per_word = let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("again")))
-    both = let(F.struct(per_line.alias("l"), per_word.alias("w")), lambda x: x)
-    return {
-        "n_words": both["w"]["n"],
-        "word_chars": F.length(bare),
-        "n_symbols": F.length(text) - F.length(_without(text, SYMBOLS)),
-        "n_dup_lines": both["l"]["n"] - both["l"]["kinds"],
-        "n_repeat_words": both["w"]["again"],
-        "n_lines": both["l"]["n"],
-        "n_exclamations": F.length(text) - F.length(_without(text, "!")),
-        "n_capital_runs": F.size(F.split(text, r"\p{Lu}{4,}")) - 1,
-    }
+    """(id, *COUNTS): what the rules read of each text."""
+    return docs.select(quoted(id_col).alias("id"), F.explode(counted(quoted(text_col))).alias("c")).select("id", "c.*")
 
 
 @dataclass(frozen=True)
@@ -132,10 +140,10 @@ def _posterior(v: Column, accuracy: list[Column]) -> Column:
     return good / (good + bad)
 
 
-def fit(counted: DataFrame) -> Model:
+def fit(counts: DataFrame) -> Model:
     """Estimates the model on counts of all documents."""
     start = [a for a, _ in RULES.values()]
-    patterns = counted.groupBy(votes().alias("v")).agg(F.count("*").cast("double").alias("n"))
+    patterns = counts.groupBy(votes().alias("v")).agg(F.count("*").cast("double").alias("n"))
     seen = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("seen"))
 
     def again(state: Column, seen: Column) -> Column:
@@ -157,17 +165,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def judged(counted: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """counted with base_failed, posterior and kept."""
-    return counted.withColumn("base_failed", base_failed()).withColumn("posterior", F.round(model.posterior(), 6)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+def judged(counts: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """counts with base_failed, posterior and kept."""
+    return counts.withColumn("base_failed", base_failed()).withColumn("posterior", F.round(model.posterior(), 6)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, unchanged, that the model fitted on all of docs keeps."""
-    model = fit(docs.select(*(c.cast("long").alias(n) for n, c in count_columns(F.col(text_col)).items())))
-    packed = "__counts"
-    while packed in docs.columns:
-        packed += "_"
-    named = docs.withColumn(packed, F.struct(*(c.cast("long").alias(n) for n, c in count_columns(F.col(text_col)).items())))
-    flags = named.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"{packed}.*"))
-    return judged(flags, model, threshold).where("kept").select("row.*")
+    model = fit(docs.select(F.explode(counted(quoted(text_col))).alias("c")).select("c.*"))
+    rows = docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), F.explode(counted(quoted(text_col))).alias("c")).select("row", "c.*")
+    return judged(rows, model, threshold).where("kept").select("row.*")

@@ -41,8 +41,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return linededup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_spread", "n_removed", "text")
+    return linededup.removed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

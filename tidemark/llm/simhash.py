@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, quoted, unused
 
 SEED = 42
 SHINGLE = 3
@@ -52,15 +52,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, text_hash, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "text_hash", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "id long, fp long")
+    text = quoted(text_col).cast("string")
+    slim = docs.select(quoted(id_col).cast("long").alias("id"), _text_hash(text).alias("text_hash"), text.alias("text"))
+    return slim.mapInArrow(run, "id long, text_hash long, fp long")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def links(nodes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -110,14 +115,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(id, fp, label, component_id) for each row of docs: label is the least fingerprint of its group."""
+    """(id, text_hash, fp, label, component_id) of every row of docs: label is the least fingerprint of its group."""
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
     edges = checkpointed(links(nodes.select("fp"), bucket_limit))
     groups = nodes.join(components(edges), nodes.fp == F.col("node"), "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
     heads = groups.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = checkpointed(groups.join(heads, "label").select("fp", "label", "component_id"))
-    return rows.join(named, "fp").select("id", "fp", "label", "component_id")
+    return rows.join(named, "fp").select("id", "text_hash", "fp", "label", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """One row of each group of near duplicates, unchanged: the one with the least id (then the least hash of its text).
+
+    Of rows that repeat in id and text, one stays. Rows with a null id come last in their group.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, bucket_limit)
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("b"))
+    asked, hashed = unused(docs, "__id"), unused(docs, "__hash")
+    chosen = checkpointed(best.select(F.col("b.id").alias(asked), F.col("b.text_hash").alias(hashed)))
+    rows = docs.withColumn(hashed, _text_hash(quoted(text_col).cast("string"))).withColumn(asked, quoted(id_col).cast("long"))
+    same = rows[asked].eqNullSafe(chosen[asked]) & (rows[hashed] == chosen[hashed])
+    kept = rows.join(chosen, same, "left_semi")
+    again = found.groupBy("id", "text_hash").count().where(F.col("count") > 1)
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([asked, hashed])
+    return kept.select(*(quoted(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:
