@@ -1,17 +1,17 @@
 """Exact encoding with a word-level BPE tokenizer by tree concatenation, and decoding.
 
-The tokenizer cuts normalised text into units (runs of letters, single digits, runs of other signs) and
-applies its merges inside each. A long text is encoded as a tree: both halves are encoded on their own, then
-a window round the join is encoded again, and grows until it starts a unit where the left half starts one
-and where the right half starts one. From there on all of them see the same text, so the three agree
-exactly and are spliced. A single unit of more than LEAF_BYTES bytes is handled in the same way one level
-down, on tokens: the window grows until it shares tokens with both halves; every pair of neighbours in the
-splice then stands in one of the three encodings, which is what makes a sequence the encoding of its text.
-
-Units repeat, so each worker keeps a bounded cache from units to whatever form of their ids is wanted;
-forms of a text are joins of those of its units. Signs outside ASCII and Latin-1, and the tokenizer's
-special strings, go to the tokenizers library, one white-space delimited chunk at a time: no unit and no
-special string contains ASCII white space, and normalisation doesn't reach across it.
+The tokenizer never joins anything across ASCII white space, so a text is a sequence of chunks; it cuts a
+normalised chunk into units (runs of letters, single digits, runs of other signs) and applies its merges
+inside each. A long text is encoded as a tree: both halves are encoded on their own, then a window round the
+join is encoded again, and grows until it holds white space on either side. What the halves made of their
+parts of the window must be just what those parts give alone; then the window's own encoding takes their
+place. A single unit of more than LEAF_BYTES bytes is handled in the same way one level down, on tokens: the
+window grows until it shares neighbouring tokens with both halves; every pair of neighbours in the splice
+then stands in one of the three encodings, which is what makes a sequence the encoding of its text.
+
+Chunks and units repeat, so each worker keeps bounded caches from them to whatever form of their ids is
+wanted; forms of a text are joins of those of its chunks. Chunks with signs outside ASCII and Latin-1, or
+with the tokenizer's special strings, go to the tokenizers library whole.
 
 Cases: null text counts as empty and has no ids; a text of white space has none either; texts of any length
 are handled in memory proportional to one text. Rows repeat as they do in the input. Other columns aren't read.
@@ -34,12 +34,16 @@ from tidemark.llm.common import quoted
 LEAF_CHARS = 8192
 LEAF_BYTES = 2048
 WINDOW = 32
-CACHE_UNITS = 200_000
+CACHE = 400_000  # entries of each generation of a cache; there are two
 
 #: The tokenizer's unit pattern for lower-cased ASCII and Latin-1: contractions, letters, a digit, other signs.
 _UNITS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-_OTHER = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xff]|<\|(?:start|end)oftext\|>")
 _CHUNKS = re.compile(r"[^\t-\r ]+")
+_WHITE = re.compile(r"[\t-\r ]")
+#: Latin-1 bytes that need no normalisation beyond lower case, and that lower case.
+_SAFE = bytes([*range(9, 14), *range(32, 127), *range(161, 256)])
+_LOWER = "".join(map(chr, range(256))).lower().encode("latin-1")
+_SPECIAL = "<|"
 
 
 def _byte_signs() -> list[str]:
@@ -61,64 +65,65 @@ class Encoder:
         self.signs = _byte_signs()
         self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
 
-    # units
+    # chunks
 
-    def units(self, text: str) -> list[str]:
-        """The units of a text; a chunk with other signs stands for its own units, marked by a leading space."""
+    def chunks(self, text: str) -> list[bytes | str]:
+        """The white-space delimited chunks of a text: lower-cased Latin-1 bytes, or a string that the library is to encode."""
         if len(text) <= LEAF_CHARS:
-            return self._scan(text)
-        return [u for _, u in self._tree(text, 0, len(text))]
-
-    def _scan(self, text: str) -> list[str]:
-        if not _OTHER.search(text):
-            return _UNITS.findall(text.lower())
-        found: list[str] = []
-        for chunk in _CHUNKS.findall(text):
-            if _OTHER.search(chunk):
-                found.append(" " + chunk)
+            return self._split(text)
+        return self._tree(text, 0, len(text))
+
+    def _split(self, text: str) -> list[bytes | str]:
+        if _SPECIAL not in text:
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
             else:
-                found += _UNITS.findall(chunk.lower())
-        return found
-
-    def _placed(self, text: str, a: int, b: int) -> list[tuple[int, str]]:
-        """(start, unit) of text[a:b]. Lower case has the lengths of the original in ASCII and Latin-1."""
-        found: list[tuple[int, str]] = []
-        for m in _CHUNKS.finditer(text, a, b):
-            if _OTHER.search(m[0]):
-                found.append((m.start(), " " + m[0]))
-            else:
-                found += [(m.start() + u.start(), u[0]) for u in _UNITS.finditer(m[0].lower())]
-        return found
+                if not raw.translate(None, _SAFE):
+                    return raw.translate(_LOWER).split()
+        return [self._chunk(c) for c in _CHUNKS.findall(text)]
 
-    def _tree(self, text: str, a: int, b: int) -> list[tuple[int, str]]:
+    @staticmethod
+    def _chunk(chunk: str) -> bytes | str:
+        if _SPECIAL not in chunk:
+            try:
+                raw = chunk.encode("latin-1")
+            except UnicodeEncodeError:
+                return chunk
+            if not raw.translate(None, _SAFE):
+                return raw.translate(_LOWER)
+        return chunk
+
+    def _tree(self, text: str, a: int, b: int) -> list[bytes | str]:
         if b - a <= LEAF_CHARS:
-            return self._placed(text, a, b)
+            return self._split(text[a:b])
         mid = (a + b) // 2
         left, right = self._tree(text, a, mid), self._tree(text, mid, b)
         w = WINDOW
         while mid - w > a or mid + w < b:
             lo, hi = max(a, mid - w), min(b, mid + w)
-            window = self._placed(text, lo, hi)
-            starts = {s: i for i, (s, _) in enumerate(window)}
-            # The last unit of the left half may go on, so an agreed start lies before it; a unit with other
-            # signs depends on its whole chunk, so the agreed start must follow white space there.
-            p = next((i for i in range(len(left) - 1, max(-1, len(left) - 1 - 4 * w), -1) if left[i][0] > lo and left[i][0] in starts and self._clean(text, left[i][0])), None)
-            q = next((i for i, (s, _) in enumerate(right[: 4 * w]) if s in starts and s < hi and self._clean(text, s)), None)
-            if p is not None and q is not None and left[p][0] < right[q][0]:
-                return left[:p] + window[starts[left[p][0]] : starts[right[q][0]]] + right[q:]
+            before = [lo + m.start() for m in _WHITE.finditer(text[lo:mid])][-1:] or [a - 1] * (lo == a)
+            after = _WHITE.search(text, mid, hi)
+            q = after.start() if after else b if hi == b else None
+            if before and q is not None:
+                p = before[0] + 1
+                ends, starts = self._split(text[p:mid]), self._split(text[mid:q])
+                if left[len(left) - len(ends) :] == ends and right[: len(starts)] == starts:
+                    del left[len(left) - len(ends) :]
+                    return left + self._split(text[p:q]) + right[len(starts) :]
             w *= 2
-        return self._placed(text, a, b)
-
-    @staticmethod
-    def _clean(text: str, s: int) -> bool:
-        """Whether a unit that starts at s starts a chunk of white-space delimited text."""
-        return s == 0 or text[s - 1] in "\t\n\x0b\x0c\r "
+        return self._split(text[a:b])
 
     # ids
 
+    def units(self, chunk: bytes | str) -> list[str]:
+        return _UNITS.findall(chunk.decode("latin-1"))
+
+    def library(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
     def ids(self, unit: str) -> list[int]:
-        if unit[0] == " ":
-            return self.tokenizer.encode(unit[1:], add_special_tokens=False).ids
         mapped = unit if unit.isascii() else "".join(map(self.signs.__getitem__, unit.encode()))
         if len(mapped) <= LEAF_BYTES:
             return [t.id for t in self.tokenizer.model.tokenize(mapped)]
@@ -158,40 +163,68 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class Forms(dict):
-    """A bounded cache from units to a form of their ids."""
+class Cache(dict):
+    """A bounded cache in two generations: what is asked for again moves to the young one, and what
+    hasn't been by the time that the young one is full is forgotten."""
 
-    def __init__(self, path: str, form: Callable[[Encoder, list[int]], object]) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.encoder, self.form = encoder(path), form
+        self.old: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
 
-    def __missing__(self, unit: str):
-        if len(self) >= CACHE_UNITS:
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        made = self[unit] = self.form(self.encoder, self.encoder.ids(unit))
-        return made
+        self[key] = found
+        return found
+
+
+class Units(Cache):
+    """From units to their ids."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.make = encoder(path).ids
+
+
+class Forms(Cache):
+    """From chunks to a form of their ids."""
+
+    def __init__(self, path: str, form: Callable[[Encoder, list[int]], object]) -> None:
+        super().__init__()
+        self.encoder, self.form, self.units = encoder(path), form, Units(path)
+
+    def make(self, chunk: bytes | str):
+        if isinstance(chunk, str):
+            return self.form(self.encoder, self.encoder.library(chunk))
+        return self.form(self.encoder, [i for u in self.encoder.units(chunk) for i in self.units[u]])
 
     def of(self, text: str | None) -> list:
-        return list(map(self.__getitem__, self.encoder.units(text or "")))
+        return list(map(self.__getitem__, self.encoder.chunks(text or "")))
 
 
 def packed(_: Encoder, ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def written(e: Encoder, ids: list[int]) -> tuple[bytes, bytes, int]:
-    """Decimal ids and the decoded tokens, each followed by a space, and how many there are."""
-    return "".join(f"{i} " for i in ids).encode(), "".join(e.names[i] + " " for i in ids).encode(), len(ids)
+def written(e: Encoder, ids: list[int]) -> tuple[bytes, bytes]:
+    """Decimal ids, and the decoded tokens, each followed by a space."""
+    return "".join([f"{i} " for i in ids]).encode(), "".join([e.names[i] + " " for i in ids]).encode()
 
 
 @functools.lru_cache(maxsize=4)
 def forms(path: str, kind: str) -> Forms:
-    return Forms(path, {"packed": packed, "written": written}[kind])
+    return Forms(path, {"packed": packed, "written": written, "plain": lambda _, ids: ids}[kind])
 
 
 def encode(path: str, text: str | None) -> list[int]:
-    e = encoder(path)
-    return [i for u in e.units(text or "") for i in e.ids(u)]
+    return [i for part in forms(path, "plain").of(text) for i in part]
 
 
 def decode(path: str, ids: list[int]) -> str:
@@ -209,8 +242,9 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             n, ids, texts = [], [], []
             for t in batch.column(1):
                 found = cache.of(t.as_py())
-                n.append(sum(x[2] for x in found))
-                ids.append(hashlib.sha256(b"".join([x[0] for x in found])[:-1]).hexdigest())
+                decimal = b"".join([x[0] for x in found])
+                n.append(decimal.count(b" "))
+                ids.append(hashlib.sha256(decimal[:-1]).hexdigest())
                 texts.append(hashlib.sha256(b"".join([x[1] for x in found])[:-1]).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
