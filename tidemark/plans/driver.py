@@ -540,3 +540,10 @@ def j11_lookup(spark, d):
     part = read(spark, d, "part").select("p_partkey", F.concat(F.lit("【new】"), F.initcap("p_name"), F.lit("（"), F.col("p_brand"), F.lit("）")).alias("raw"))
     entries = read(spark, d, "part").where("p_partkey < 60").select(F.col("p_name").alias("canonical_name"), F.array("p_brand").alias("aliases"))
     return lookup.resolve_artists(part, "raw", lookup.name_keys(entries)).select("p_partkey", "artist", "artist_matched")
+
+
+@query("s44_page_text")
+def s44_page_text(spark, d):
+    from tidemark.sources import feeds
+
+    return feeds.page_text(read(spark, d, "pages")).select(F.col("key").cast("long").alias("page_id"), "title", F.length("text").cast("long").alias("n_chars"), "short", "error")
