@@ -89,7 +89,7 @@ def schedule_events(text: str, as_of: str, rules: str = "generic") -> list[dict]
             rest = re.sub(r"[（(][月火水木金土日祝・]+[）)]", "", _SHORT.sub("", _FULL.sub("", line))).strip(" -~〜～・、/")
         elif not r.carry:
             days = []
-        title = re.sub(r"(?:開場|開演|OPEN|START)?\s*[:：]?\s*" + _TIME.pattern + r"\s*[~〜～]?", "", rest, flags=re.I).strip(" -~〜～・、/|")
+        title = re.sub(r"(?:開場|開演|OPEN|START)?\s*[:：]?\s*" + _TIME.pattern + r"\s*[~〜～]?\s*(?:開場|開演|OPEN|START)?", "", rest, flags=re.I).strip(" -~〜～・、/|")
         at = time_in(rest, r)
         if not title:
             if at and made and days:
