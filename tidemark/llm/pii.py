@@ -32,7 +32,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "identity", "local_phone", "name", "spelled_email")
 KINDS = BASE_KINDS + ADDED_KINDS
 LABELERS = ("shape", "check", "gazetteer", "context_for", "context_against", "boundary")
-ITERATIONS, PRIOR_VOTES, START, LEAST, MOST = 30, 10.0, 0.8, 0.55, 0.99
+#: Accuracies to start from, in the order of LABELERS, and the band below and above them that they stay in, so that
+#: labelers that nearly always agree (shape and boundary) can't outvote the arithmetic of a check.
+START, BELOW, ABOVE = (0.65, 0.95, 0.85, 0.85, 0.85, 0.65), 0.1, 0.04
+ITERATIONS, PRIOR_VOTES = 30, 10.0
 SHARES = {k: 0.6 if k in BASE_KINDS else 0.4 for k in KINDS}
 THRESHOLD = 0.6
 AROUND = 48
@@ -168,15 +171,16 @@ def fit(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
         return {}
     n = np.array([counts[k] for k in keys], dtype=float)
     votes = np.array([[{"+": 1, "-": -1}.get(c, 0) for c in v] for _, v in keys])
-    share, accuracy = dict(SHARES), np.full(len(LABELERS), START)
+    start = np.array(START)
+    share, accuracy = dict(SHARES), start
     kinds = np.array([KINDS.index(k) for k, _ in keys])
     for _ in range(ITERATIONS):
         prior = np.array([share[k] for k, _ in keys])
         odds = np.log(prior / (1 - prior)) + (votes * np.log(accuracy / (1 - accuracy))).sum(axis=1)
         posterior = 1 / (1 + np.exp(-odds))
         right = np.where(votes > 0, posterior[:, None], 1 - posterior[:, None]) * (votes != 0)
-        accuracy = ((n[:, None] * right).sum(axis=0) + PRIOR_VOTES * START) / ((n[:, None] * (votes != 0)).sum(axis=0) + PRIOR_VOTES)
-        accuracy = accuracy.clip(LEAST, MOST)
+        accuracy = ((n[:, None] * right).sum(axis=0) + PRIOR_VOTES * start) / ((n[:, None] * (votes != 0)).sum(axis=0) + PRIOR_VOTES)
+        accuracy = accuracy.clip(start - BELOW, start + ABOVE)
         for i, k in enumerate(KINDS):
             mine = kinds == i
             share[k] = float(np.clip(((n * posterior)[mine].sum() + PRIOR_VOTES * SHARES[k]) / (n[mine].sum() + PRIOR_VOTES), 0.1, 0.9))
@@ -259,10 +263,11 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data in text_col replaced, other columns as they are; the classifier is trained on all of docs first."""
     accepted = train(scan(docs.select(F.lit(0).alias("doc_id"), quoted(text_col).alias("text"))))
     schema, place = docs.schema, docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots, or clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if (t := x.as_py()) is None else masked(t, chosen(*candidates(t), accepted)) for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*schema.names)
