@@ -82,15 +82,28 @@ def _pair(have: np.ndarray, gap: int) -> tuple[int, int] | None:
     return (int(both[-1]), gap - int(both[-1])) if len(both) else None
 
 
-def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[list[tuple[int, int]], int]]:
-    """What sequences to make: ([(length, how many in a row)...], how many such sequences)."""
+Plan = list[tuple[list[tuple[int, int]], int]]
+
+
+def plan(counts: dict[int, int], length: int = LENGTH) -> Plan:
+    """What sequences to make: ([(length, how many in a row)...], how many such sequences).
+
+    Exact combinations first, then best fit; where a handful of pieces makes that worse than best fit alone, the latter.
+    """
     have = np.zeros(length + 1, dtype=np.int64)
     for n, k in counts.items():
         have[n] = k
-    made: list[tuple[list[tuple[int, int]], int]] = []
-    if have[length]:
-        made.append(([(length, 1)], int(have[length])))
-        have[length] = 0
+    full: Plan = [([(length, 1)], int(have[length]))] if have[length] else []
+    have[length] = 0
+    plain = _best_fit(have, length)
+    exact = _exact(have, length)
+    both = exact + _best_fit(have, length)
+    return full + min(both, plain, key=lambda made: sum(times for _, times in made))
+
+
+def _exact(have: np.ndarray, length: int) -> Plan:
+    """Sequences filled exactly by up to four pieces, longest lengths first; takes what it uses from have."""
+    made: Plan = []
     for n in range(length - 1, 0, -1):
         while have[n]:
             have[n] -= 1
@@ -105,7 +118,12 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[list[tuple[
             for x, k in parts.items():
                 have[x] -= times * k
             made.append((sorted(parts.items(), reverse=True), times))
-    room: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}  # by what is left in the sequence
+    return made
+
+
+def _best_fit(have: np.ndarray, length: int) -> Plan:
+    """All pieces by best fit, longest first, as many equal ones at a time as fit in equal sequences."""
+    room: dict[int, Plan] = {}  # by what is left in the sequence
     for n in np.flatnonzero(have)[::-1].tolist():
         left = int(have[n])
         while left:
@@ -122,7 +140,7 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[list[tuple[
                 room[fits].append((held, times - take))
             room.setdefault(fits - n * each, []).append(([*held, (n, each)], take))
             left -= take * each
-    return made + [x for group in room.values() for x in group]
+    return [x for group in room.values() for x in group]
 
 
 def segments(made: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
