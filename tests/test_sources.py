@@ -198,3 +198,11 @@ def test_schedules():
     assert [(e["start_date"], e["title"]) for e in schedules.two_column_schedule("  3(金)  全日本大会      9 別の会場\nx", 2026, 4)] == [("2026-04-03", "全日本大会")]
     text = "3日(金) 10:00 ～ 12:00 球技場 A大会\n 13:00 競技場 B大会\n 14:00 球技場 C大会"
     assert [(e["start_time"], e["title"]) for e in schedules.timed_schedule(text, 2026, 4, "球技場")] == [("10:00", "A大会"), ("14:00", "C大会")]
+
+
+def test_venue_pages(spark):
+    page = "<p>2026年5月1日 Aアリーナ LIVE 18:00開演</p><p>2026年5月2日 B広場 市</p>"
+    rows = [("a", page, "zepp_schedule", None), ("b", page, "saitama_arena_schedule", '{"allowed_place_keywords": ["アリーナ"]}'), ("c", page, "unknown", None), ("d", page, "zepp_schedule", "{broken"), ("e", None, "tif_calendar", None)]
+    got = schedules.venue_events(spark.createDataFrame(rows, "venue_id string, html string, strategy string, config_json string"), "2026-01-01").collect()
+    assert sorted((r.venue_id, r.start_date, r.start_time, r.error is None) for r in got if r.venue_id != "d") == [("a", "2026-05-01", "18:00", True), ("a", "2026-05-02", None, True), ("b", "2026-05-01", "18:00", True)]
+    assert [r.error is None for r in got if r.venue_id == "d"] == [False]

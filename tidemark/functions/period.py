@@ -83,6 +83,7 @@ def gregorian(era: Column, year: Column) -> Column:
 def stay_period(title: Column) -> Column:
     """(period_type, period_key, period_label) of a statistics title; null fields if it names no period."""
     t = F.regexp_replace(title, "[〜～−－―]", "-")
+    # The forms in which titles write a period.
     span = r"(20\d{2})年(?U)\s*([1-9]|1[0-2])\s*-\s*([1-9]|1[0-2])月"
     named = r"(?i)(20\d{2})年(?U)\s*Q([1-4])"
     year = F.when(t.rlike(span), F.regexp_extract(t, span, 1)).when(t.rlike(named), F.regexp_extract(t, named, 1))
@@ -98,6 +99,7 @@ def stay_period(title: Column) -> Column:
 def spend_period(text: Column) -> Column:
     """(period_label, period_key, release_type) of a spending release's title; a null key if it names no period."""
     t = F.regexp_replace(F.regexp_replace(text, "[〜～－]", "-"), " ", "")
+    # The forms in which titles write a period.
     span, annual = r"(20\d{2})年([0-9]{1,2})-([0-9]{1,2})月期", r"(20\d{2})年(?:（令和\d+年）)?(?:年間|暦年)"
     quarter = F.floor((F.regexp_extract(t, span, 2).try_cast("int") + 2) / 3).cast("string")
     is_span, is_annual = t.rlike(span), t.rlike(annual)
@@ -114,6 +116,7 @@ def release(text: Column) -> Column:
 
 def hhmm(text: Column) -> Column:
     """HH:MM of the first time in text that isn't part of a longer number; null if there is none or it isn't a time of day."""
+    # Fixed value: the form of a time of day.
     form = r"(?<!\d)(\d{1,2}):(\d{2})(?!\d)"
     hour, minute = (F.regexp_extract(text, form, i).try_cast("int") for i in (1, 2))
     return F.when((hour <= 23) & (minute <= 59), F.format_string("%02d:%02d", hour, minute))

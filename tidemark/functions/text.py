@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DataType, StringType
 
 from tidemark.functions import fixed as V
 
+# The forms that names are normalised by.
 _DASHES = re.compile("[‐–—―ー−]")
 _LEADING = re.compile(r"\s*(?:【[^】]*】|\[[^\]]*\]|［[^］]*］|＜[^＞]*＞|<[^>]*>|\([^)]*\))\s*")
 _PUNCTUATION = re.compile(r"[\s\-_/.,()\[\]{}<>【】［］＜＞'\"`]+")

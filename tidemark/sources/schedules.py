@@ -6,12 +6,18 @@ are found, and what is left out. Rule sets are data, so a venue's is a few lines
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
-from tidemark.sources.feeds import _event, page
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.sources.feeds import EVENT_FIELDS, _event, page
 
 _TIME = re.compile(r"(?<!\d)([01]?\d|2[0-3])\s*[:：時]\s*([0-5]\d)?(?!\d)")
 _FULL = re.compile(r"(20\d{2})\s*[./年-]\s*(\d{1,2})\s*[./月-]\s*(\d{1,2})")
@@ -38,6 +44,21 @@ SCHEDULES: dict[str, Rules] = {
     "stadium": Rules(skip=("休館日", "予約不可", "貸切", "未定")),
     "private_hidden": Rules(skip=("PRIVATE", "関係者のみ")),
 }
+#: The strategies that venues name in their configuration, by the rule set that reads their pages.
+STRATEGIES: dict[str, str] = {
+    name: rules
+    for rules, names in {
+        "generic": (
+            "tif_calendar", "zepp_schedule", "saitama_arena_schedule", "tokyo_dome_calendar", "vantelin_dome_schedule", "belluna_dome_schedule", "makuhari_messe_schedule", "k_arena_yokohama_schedule",
+            "sapporo_dome_schedule", "fukuoka_paypay_dome_schedule", "zozo_marine_stadium_schedule", "portmesse_nagoya_events", "asue_arena_osaka_events", "nissan_stadium_calendar", "mufg_stadium_schedule",
+            "marine_messe_fukuoka_event", "osaka_jo_hall_schedule", "festival_hall_schedule", "ariake_arena_schedule", "yoyogi_gymnasium_schedule", "garden_theater_schedule", "tdc_hall_schedule",
+            "kyocera_dome_schedule", "toyosu_pit_schedule",
+        ),
+        "stadium": ("panasonic_stadium_suita_schedule",),
+        "private_hidden": ("pia_arena_mm_schedule",),
+    }.items()
+    for name in names
+}
 
 
 def strict_text(raw: bytes) -> str:
@@ -74,9 +95,9 @@ def dates_in(text: str, month: tuple[int, int] | None, as_of: str, rules: Rules)
     return found
 
 
-def schedule_events(text: str, as_of: str, rules: str = "generic") -> list[dict]:
+def schedule_events(text: str, as_of: str, rules: str | Rules = "generic") -> list[dict]:
     """Events of a schedule page in the order of the page, each date and title once."""
-    r, month, days, made = SCHEDULES[rules], None, [], {}
+    r, month, days, made = SCHEDULES[rules] if isinstance(rules, str) else rules, None, [], {}
     for line in page(text)["text"].split("\n"):
         line = unicodedata.normalize("NFKC", line).strip()
         if heading := _MONTH.fullmatch(line):
@@ -134,3 +155,32 @@ def month_range(as_of: str, months: int = 3) -> list[tuple[int, int]]:
         made.append((first.year, first.month))
         first = (first + timedelta(days=32)).replace(day=1)
     return made
+
+
+def strategy_events(text: str, strategy: str | None, as_of: str, config: str | None = None) -> list[dict]:
+    """Events of a venue's page by the strategy that its configuration names; none for a strategy that isn't known.
+    A configuration may list words of which a line must have one, under allowed_place_keywords or allowed_categories."""
+    if strategy not in STRATEGIES:
+        return []
+    told = json.loads(config) if config else {}
+    only = tuple(told.get("allowed_place_keywords") or told.get("allowed_categories") or ())
+    return schedule_events(text, as_of, replace(SCHEDULES[STRATEGIES[strategy]], only=only))
+
+
+def venue_events(pages: DataFrame, as_of: str, venue: str = "venue_id", html: str = "html", strategy: str = "strategy", config: str = "config_json") -> DataFrame:
+    """(venue_id, the fields of an event, error) of a table of venues' pages; a page that fails gives an error row [S32 E06]."""
+    kinds = [pa.bool_() if f == "all_day" else pa.string() for f in EVENT_FIELDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for v, text, s, c in zip(*(x.to_pylist() for x in batch.columns)):
+                try:
+                    rows += [(v, *(e[f] for f in EVENT_FIELDS), None) for e in strategy_events(text, s, as_of, c)]
+                except Exception as x:  # one venue's page mustn't take the others with it
+                    rows.append((v, *(None for _ in EVENT_FIELDS), f"{type(x).__name__}: {x}"[:500]))
+            columns = list(zip(*rows)) if rows else [()] * (len(EVENT_FIELDS) + 2)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *kinds, pa.string()])], names=["venue_id", *EVENT_FIELDS, "error"])
+
+    schema = ", ".join(["venue_id string", *(f"{f} {'boolean' if f == 'all_day' else 'string'}" for f in EVENT_FIELDS), "error string"])
+    return pages.select(F.col(venue).cast("string"), F.col(html), F.col(strategy), F.col(config)).mapInArrow(run, schema)
