@@ -34,7 +34,7 @@ from tidemark.llm.common import quoted
 LEAF_CHARS = 8192
 LEAF_BYTES = 2048
 WINDOW = 32
-CACHE = 400_000  # entries of each generation of a cache; there are two
+CACHE = 250_000  # entries of each generation of a cache; there are two
 
 #: The tokenizer's unit pattern for lower-cased ASCII and Latin-1: contractions, letters, a digit, other signs.
 _UNITS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
