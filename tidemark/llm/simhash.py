@@ -130,7 +130,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Of rows that repeat in id and text, one stays. Rows with a null id come last in their group.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, bucket_limit)
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, bucket_limit), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What keep_one keeps of docs, given the label of each of its rows: found(id, text_hash, label)."""
     best = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("b"))
     asked, hashed = unused(docs, "__id"), unused(docs, "__hash")
     chosen = checkpointed(best.select(F.col("b.id").alias(asked), F.col("b.text_hash").alias(hashed)))
