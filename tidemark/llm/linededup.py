@@ -4,9 +4,10 @@ A HyperLogLog sketch of the sites of each line is built before the shuffle and m
 whose estimate is clear of the threshold are decided by it; for lines near it the distinct sites are counted
 exactly. Lines on at least ``min_sites`` sites are boilerplate and are cut from every text.
 
-A document of which boilerplate makes up more than ``max_share`` of the non-blank characters is a copy of a
-document that is on many sites rather than a page with boilerplate round it; it is left whole, for
-near-duplicate detection to decide.
+``clean``, which the pipeline uses, leaves a text whole if just this text is on at least ``min_sites`` sites:
+it is a copy of a document rather than a page with boilerplate round it, and near-duplicate detection decides.
+From any other text all boilerplate goes, whatever its share, even if nothing stays. ``removed`` and its SQL
+leave a text whole by the share of boilerplate instead: over ``max_share`` of its non-blank characters.
 
 Lines are split at \\n and compared without leading and trailing ASCII white space; blank lines are never
 boilerplate and stay. A null site counts as one site of its own. Cases: a null text gives a null clean text
@@ -51,24 +52,30 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return checkpointed(clear.union(exact))
 
 
-def _judged(docs: DataFrame, text_col: str, site_col: str, min_sites: int, max_share: float, lg_k: int) -> tuple[DataFrame, str]:
+def _judged(docs: DataFrame, text_col: str, site_col: str, min_sites: int, max_share: float | None, lg_k: int) -> tuple[DataFrame, str]:
     """docs and one more column, whose name comes too: a struct of text (cleaned), n_lines, n_spread and n_removed.
 
+    Without a max_share, texts that are on min_sites sites are left whole, and no others.
     The texts that have boilerplate are listed once each by their hash, so that a copied text is looked up,
     not carried, once for each copy.
     """
     common = boilerplate(docs, text_col, site_col, min_sites, lg_k)
     text = quoted(text_col)
-    key, hits, out = (unused(docs, x) for x in ("__key", "__hits", "__out"))
+    key, hits, out, whole = (unused(docs, x) for x in ("__key", "__hits", "__out", "__whole"))
     hashed = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
     met = docs.select(hashed.alias(key), F.explode(F.array_distinct(F.transform(_lines(text), lambda x: _hash(x)))).alias("line"))
     listed = checkpointed(met.join(common, "line", "left_semi").groupBy(key).agg(F.collect_set("line").alias(hits)))
+    if max_share is None:
+        sites = docs.select(hashed.alias(key), _site(quoted(site_col)).alias("site")).join(listed.select(key), key, "left_semi")
+        copied = sites.groupBy(key).agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select(key, F.lit(True).alias(whole))
+        listed = checkpointed(listed.join(copied, key, "left"))
     both = docs.withColumn(key, hashed).join(listed, key, "left")
     found = F.coalesce(F.col(hits), F.array().cast("array<bigint>"))
     lines = _lines(text)
     size_ = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(trimmed(x)))
     spread = F.filter(lines, lambda x: F.array_contains(found, _hash(x)))
-    strip = (F.size(found) > 0) & (size_(spread) <= max_share * size_(lines))
+    spared = F.coalesce(F.col(whole), F.lit(False)) if max_share is None else size_(spread) > max_share * size_(lines)
+    strip = (F.size(found) > 0) & ~spared
     n_spread = F.when(F.size(found) > 0, F.size(spread)).otherwise(0)
     cleaned = F.when(strip, F.array_join(F.filter(lines, lambda x: ~F.array_contains(found, _hash(x))), "\n")).otherwise(text)
     told = F.struct(cleaned.alias("text"), F.size(F.filter(lines, lambda x: trimmed(x) != "")).cast("long").alias("n_lines"), n_spread.cast("long").alias("n_spread"), F.when(strip, n_spread).otherwise(0).cast("long").alias("n_removed"))
@@ -81,9 +88,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sit
     return judged.select("id", *(F.col(f"{out}.{c}") for c in ("n_lines", "n_spread", "n_removed", "text")))
 
 
-def clean(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, lg_k: int = LG_K) -> DataFrame:
-    """docs with text_col cleaned, every other column as it is."""
-    judged, out = _judged(docs, text_col, site_col, min_sites, max_share, lg_k)
+def clean(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """docs with text_col cleaned unless just this text is on min_sites sites, every other column as it is."""
+    judged, out = _judged(docs, text_col, site_col, min_sites, None, lg_k)
     return replaced(judged, {text_col: F.col(f"{out}.text")}).drop(out)
 
 
