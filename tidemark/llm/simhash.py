@@ -33,6 +33,7 @@ from tidemark.llm.common import checkpointed, quoted, unused
 SEED = 42
 SHINGLE = 3
 BUCKET_LIMIT = 64
+SALTS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -43,7 +44,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     grams = [words] if len(words) < shingle else zip(*(words[i:] for i in range(shingle)))
     digest, joined = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.array([digest(joined(g), SEED) for g in grams], dtype="<u8")
+    return vote(np.array([digest(joined(g), SEED) for g in grams], dtype="<u8"))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounds the memory that a very long text takes
         part = hashes[i : i + (1 << 16)]
@@ -92,20 +97,23 @@ def links(nodes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the least node reachable, for the nodes of edges(u, v).
 
-    Hooking and pointer jumping on a table of parents: a number of rounds that is logarithmic in practice.
-    Each round works on (node, parent) rows and the links, both dealt out by node; degrees are bounded by
-    the bucket limit and by 65, and rows that meet at a popular parent are pre-aggregated.
+    Hooking and pointer jumping on a table of parents: a number of rounds that is logarithmic in practice. The
+    nodes of a popular parent are first counted as one row for each of SALTS parts, which look the parent's own
+    parent up; an offer to a parent is made only if it is lower, and is pre-aggregated.
     """
     both = checkpointed(edges.select("u", "v").union(edges.select("v", "u")))
+    part = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("part")
     parents = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("p")))
     total = lambda t: t.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]
     last = total(parents)
     while last is not None:
         up = parents.select(F.col("node").alias("p"), F.col("p").alias("gp"))
-        grand = parents.join(up, "p").select("node", "p", "gp")
+        asked = parents.select("p", part).distinct().join(up, "p")
+        grand = parents.select("node", "p", part).join(asked, ["p", "part"]).select("node", "p", "gp")
         least = both.join(grand.select(F.col("node").alias("v"), "gp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("gp").alias("m"))
         told = grand.join(least, "node").select("node", "p", F.least("p", "gp", "m").alias("m"))
-        offers = told.select(F.explode(F.array(F.struct(F.col("node"), F.col("m").alias("p")), F.struct(F.col("p").alias("node"), F.col("m").alias("p")))).alias("o")).select("o.*")
+        mine, higher = F.struct(F.col("node"), F.col("m").alias("p")), F.struct(F.col("p").alias("node"), F.col("m").alias("p"))
+        offers = told.select(F.explode(F.when(F.col("m") < F.col("p"), F.array(mine, higher)).otherwise(F.array(mine))).alias("o")).select("o.*")
         parents = checkpointed(offers.groupBy("node").agg(F.min("p").alias("p")))
         now = total(parents)
         if now == last:
