@@ -30,46 +30,6 @@ def test_counts(request, name):
     assert got == sorted(tuple(w[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for w in want)
 
 
-def reference_model(counted):
-    """Expectation-maximisation in plain Python, from the votes of each row."""
-    rows = [r.v for r in counted.select(quality.votes().alias("v")).collect()]
-    start = [a for a, _ in quality.RULES.values()]
-    acc = list(start)
-    for _ in range(quality.ITERATIONS):
-        right, voted = [0.0] * len(acc), [0.0] * len(acc)
-        for v in rows:
-            good = bad = 0.5
-            for k, a in enumerate(acc):
-                good *= {1: a, -1: 1 - a, 0: 1}[v[k]]
-                bad *= {-1: a, 1: 1 - a, 0: 1}[v[k]]
-            g = good / (good + bad)
-            for k in range(len(acc)):
-                right[k] += {1: g, -1: 1 - g, 0: 0}[v[k]]
-                voted[k] += abs(v[k])
-        acc = [min(max((r + quality.PRIOR_VOTES * s) / (n + quality.PRIOR_VOTES), s - quality.BELOW), s + quality.ABOVE) for r, n, s in zip(right, voted, start)]
-    return acc
-
-
-def test_model(sample):
-    counted = quality.counts(sample)
-    assert quality.fit(counted).accuracy == pytest.approx(reference_model(counted), abs=1e-9)
-
-
-def test_model_finds_labelled_quality(spark):
-    d = "/root/testdata/sf0.01"
-    counted = quality.counts(spark.read.parquet(f"{d}/documents.parquet"))
-    labelled = quality.judged(counted, quality.fit(counted)).join(spark.read.parquet(f"{d}/labels.parquet"), F.col("id") == F.col("doc_id")).where("not base_failed")
-    wrong = labelled.where(F.col("kept") != (F.col("quality") == 1)).count()
-    assert wrong <= 0.02 * labelled.count()
-
-
-def test_quality_of_odd_tables(odd, empty):
-    assert quality.keep_good(empty).columns == empty.columns and quality.keep_good(empty).count() == 0
-    kept = quality.keep_good(odd)
-    assert kept.schema == odd.schema
-    assert {hash(r.text) for r in kept.select("text").collect()} <= {hash(t) for t in ODD}
-
-
 # 2. pages
 
 
@@ -285,14 +245,19 @@ def test_packed_tables(request, name):
 def test_lines(spark, odd, empty):
     rows = [(i, f"Common line\n body {i} of its own\n  Common line ", f"s{i % 9}") for i in range(30)] + [(99, None, None), (98, "", "s1"), (97, "copied whole", "s0")]
     rows += [(200 + i, "copied whole", f"s{i}") for i in range(12)]
-    got = {r.id: r for r in linededup.removed(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=8, max_share=0.7).collect()}
+    got = {r.id: r for r in linededup.removed(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=8).collect()}
     assert all(got[i].text == f" body {i} of its own" and (got[i].n_lines, got[i].n_spread, got[i].n_removed) == (3, 2, 2) for i in range(30))
     assert got[99].text is None and got[98].text == "" and got[97].text == "copied whole" and (got[97].n_spread, got[97].n_removed) == (1, 0)
     assert linededup.clean(odd).schema == odd.schema and linededup.clean(odd).count() == odd.count()
     assert linededup.clean(empty).count() == 0
 
 
-def test_sites_near_the_threshold_are_counted_exactly(spark):
+@pytest.mark.parametrize("size", [0, 8 << 20])
+def test_sites_near_the_threshold_are_counted_exactly(spark, size, monkeypatch):
+    """With what is listed broadcast, and dealt out by salted keys."""
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", size)
     rows = [(i, f"line {n}\nbody {i} {'x' * 50}", f"s{k}") for i, (n, k) in enumerate((n, k) for n in range(1, 14) for k in range(n))]
     found = linededup.boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=8)
     want = spark.createDataFrame([(f"line {n}",) for n in range(8, 14)], "t string").select(F.xxhash64("t"))

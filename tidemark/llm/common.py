@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. A temporary one is made only in local
+    mode (tests), where driver and executors are one process; on a cluster a session without that setting is an error."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not told and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="checkpoint-"))
     return told or sc._jsc.sc().getCheckpointDir().get()
 
@@ -31,6 +34,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: What a side that is broadcast may hold, and into how many parts a key is dealt where it may hold more.
+BROADCAST_BYTES = 8 << 20
+SALTS = 16
+
+
+def among(df: DataFrame, listed: DataFrame, key: str, spread: str) -> DataFrame:
+    """The rows of df whose key is in the one long column of listed. It is broadcast if its counted size is
+    within BROADCAST_BYTES; else each key is dealt into SALTS parts by the column spread, so a hot one isn't one task's."""
+    if 16 * listed.count() <= BROADCAST_BYTES:
+        return df.join(F.broadcast(listed), key, "left_semi")
+    part = unused(df, "__part")
+    parts = listed.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias(part))
+    return df.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("long")).join(parts, [key, part], "left_semi").drop(part)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable is never inlined, as a projected column may be."""
     return F.transform(F.array(value), body)[0]

@@ -4,10 +4,9 @@ A HyperLogLog sketch of the sites of each line is built before the shuffle and m
 whose estimate is clear of the threshold are decided by it; for lines near it the distinct sites are counted
 exactly. Lines on at least ``min_sites`` sites are boilerplate and are cut from every text.
 
-``clean``, which the pipeline uses, leaves a text whole if just this text is on at least ``min_sites`` sites:
-it is a copy of a document rather than a page with boilerplate round it, and near-duplicate detection decides.
-From any other text all boilerplate goes, whatever its share, even if nothing stays. ``removed`` and its SQL
-leave a text whole by the share of boilerplate instead: over ``max_share`` of its non-blank characters.
+A text is left whole only if just this text is on at least ``min_sites`` sites: it is a copy of a document
+rather than a page with boilerplate round it, and near-duplicate detection decides. From any other text all
+boilerplate goes, whatever its share, even if nothing stays.
 
 Lines are split at \\n and compared without leading and trailing ASCII white space; blank lines are never
 boilerplate and stay. A null site counts as one site of its own. Cases: a null text gives a null clean text
@@ -21,10 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, quoted, replaced, trimmed, unused
+from tidemark.llm.common import among, checkpointed, quoted, replaced, trimmed, unused
 
 MIN_SITES = 8
-MAX_SHARE = 0.5
 LG_K = 12
 
 
@@ -48,14 +46,13 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     spread = checkpointed(spread.where(F.col("about") >= min_sites - margin))
     clear = spread.where(F.col("about") > min_sites + margin).select("line")
     near = spread.where(F.col("about") <= min_sites + margin).select("line")
-    exact = met.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
+    exact = among(met.distinct(), near, "line", "site").groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("line")
     return checkpointed(clear.union(exact))
 
 
-def _judged(docs: DataFrame, text_col: str, site_col: str, min_sites: int, max_share: float | None, lg_k: int) -> tuple[DataFrame, str]:
+def _judged(docs: DataFrame, text_col: str, site_col: str, min_sites: int, lg_k: int) -> tuple[DataFrame, str]:
     """docs and one more column, whose name comes too: a struct of text (cleaned), n_lines, n_spread and n_removed.
 
-    Without a max_share, texts that are on min_sites sites are left whole, and no others.
     The texts that have boilerplate are listed once each by their hash, so that a copied text is looked up,
     not carried, once for each copy.
     """
@@ -64,33 +61,29 @@ def _judged(docs: DataFrame, text_col: str, site_col: str, min_sites: int, max_s
     key, hits, out, whole = (unused(docs, x) for x in ("__key", "__hits", "__out", "__whole"))
     hashed = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
     met = docs.select(hashed.alias(key), F.explode(F.array_distinct(F.transform(_lines(text), lambda x: _hash(x)))).alias("line"))
-    listed = checkpointed(met.join(common, "line", "left_semi").groupBy(key).agg(F.collect_set("line").alias(hits)))
-    if max_share is None:
-        sites = docs.select(hashed.alias(key), _site(quoted(site_col)).alias("site")).join(listed.select(key), key, "left_semi")
-        copied = sites.groupBy(key).agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select(key, F.lit(True).alias(whole))
-        listed = checkpointed(listed.join(copied, key, "left"))
-    both = docs.withColumn(key, hashed).join(listed, key, "left")
+    listed = checkpointed(among(met, common, "line", key).groupBy(key).agg(F.collect_set("line").alias(hits)))
+    sites = among(docs.select(hashed.alias(key), _site(quoted(site_col)).alias("site")).distinct(), listed.select(key), key, "site")
+    copied = sites.groupBy(key).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(key, F.lit(True).alias(whole))
+    both = docs.withColumn(key, hashed).join(listed.join(copied, key, "left"), key, "left")
     found = F.coalesce(F.col(hits), F.array().cast("array<bigint>"))
     lines = _lines(text)
-    size_ = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(trimmed(x)))
     spread = F.filter(lines, lambda x: F.array_contains(found, _hash(x)))
-    spared = F.coalesce(F.col(whole), F.lit(False)) if max_share is None else size_(spread) > max_share * size_(lines)
-    strip = (F.size(found) > 0) & ~spared
+    strip = (F.size(found) > 0) & ~F.coalesce(F.col(whole), F.lit(False))
     n_spread = F.when(F.size(found) > 0, F.size(spread)).otherwise(0)
     cleaned = F.when(strip, F.array_join(F.filter(lines, lambda x: ~F.array_contains(found, _hash(x))), "\n")).otherwise(text)
     told = F.struct(cleaned.alias("text"), F.size(F.filter(lines, lambda x: trimmed(x) != "")).cast("long").alias("n_lines"), n_spread.cast("long").alias("n_spread"), F.when(strip, n_spread).otherwise(0).cast("long").alias("n_removed"))
     return both.select(*(quoted(c) for c in docs.columns), told.alias(out)), out
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, lg_k: int = LG_K) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """(id, n_lines with a word, n_spread of them boilerplate, n_removed, text cleaned) of every row."""
-    judged, out = _judged(docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(site_col).alias("source")), "text", "source", min_sites, max_share, lg_k)
+    judged, out = _judged(docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(site_col).alias("source")), "text", "source", min_sites, lg_k)
     return judged.select("id", *(F.col(f"{out}.{c}") for c in ("n_lines", "n_spread", "n_removed", "text")))
 
 
 def clean(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """docs with text_col cleaned unless just this text is on min_sites sites, every other column as it is."""
-    judged, out = _judged(docs, text_col, site_col, min_sites, None, lg_k)
+    """docs with text_col cleaned, every other column as it is."""
+    judged, out = _judged(docs, text_col, site_col, min_sites, lg_k)
     return replaced(judged, {text_col: F.col(f"{out}.text")}).drop(out)
 
 
@@ -103,11 +96,14 @@ bare AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12)
 common AS (
   SELECT body FROM bare WHERE body <> '' GROUP BY body
   HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= {MIN_SITES}),
+copied AS (
+  SELECT coalesce(text, '') AS copy FROM documents GROUP BY 1
+  HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= {MIN_SITES}),
 marked AS (SELECT b.*, c.body IS NOT NULL AS spread FROM bare b LEFT JOIN common c ON b.body = c.body),
 whole AS (
   SELECT doc_id, any_value(text) AS text,
          count(*) FILTER (body <> '') AS n_lines, count(*) FILTER (spread) AS n_spread,
-         coalesce(sum(length(body)) FILTER (spread), 0) <= {MAX_SHARE} * sum(length(body)) AS strip,
+         coalesce(any_value(text), '') NOT IN (SELECT copy FROM copied) AS strip,
          string_agg(line, chr(10) ORDER BY pos) FILTER (NOT spread) AS rest
   FROM marked GROUP BY doc_id)
 SELECT doc_id, n_lines, n_spread,
