@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 #: What a side that is broadcast may hold, and into how many parts a key is dealt where it may hold more.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 16 << 20
 SALTS = 16
 
 
@@ -45,10 +47,23 @@ def among(df: DataFrame, listed: DataFrame, key: str, spread: str) -> DataFrame:
     if 16 * listed.count() <= BROADCAST_BYTES:
         return df.join(F.broadcast(listed), key, "left_semi")
     part = unused(df, "__part")
-    parts = listed.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias(part))
+    parts = listed.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias(part))
     return df.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("long")).join(parts, [key, part], "left_semi").drop(part)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is checkpointed within goes into a folder of its own in the shared one, which is removed at the end: for
+    work whose result is written by then. Where the work fails, the folder stays."""
+    base, sc = checkpoint_folder(spark), spark.sparkContext
+    sc.setCheckpointDir(f"{base}/passing")  # Spark adds a folder of unique name
+    made = sc._jsc.sc().getCheckpointDir().get()
+    yield
+    sc.setCheckpointDir(base)
+    path = sc._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable is never inlined, as a projected column may be."""
     return F.transform(F.array(value), body)[0]
