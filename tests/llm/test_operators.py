@@ -292,12 +292,6 @@ def test_added_spans(spark, odd, empty):
     assert text == "mail <EMAIL> card <CARD> ip <IP> call <PHONE>"
 
 
-def test_reliabilities_follow_agreement():
-    made = pii.fit({("name", "+0++0+"): 50, ("name", "000000"): 5, ("card", "+-00-+"): 40, ("card", "++0+0+"): 40})
-    assert made["card", "++0+0+"] > 0.8 > 0.5 > made["card", "+-00-+"]
-    assert pii.fit({}) == {}
-
-
 # 8. tokens
 
 

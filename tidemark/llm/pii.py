@@ -1,14 +1,17 @@
 """Personal data by weak supervision: labelers vote on candidate spans, and a classifier learns from their votes.
 
 Four base kinds are found by pattern and validity check (see ``base_spans``); they are always reported. For
-what patterns alone can't settle (telephone numbers without a country code, national identity numbers,
-bank account numbers, spelled-out e-mail addresses, personal names) broad patterns propose candidates.
+what patterns alone can't settle (telephone numbers without a country code, national identity numbers, bank
+account numbers, spelled-out e-mail addresses, personal names, keys and tokens) broad patterns propose candidates.
 Regular-expression, gazetteer and context labelers vote for or against each candidate, base ones included, or abstain.
-Expectation-maximisation over the votes of the whole corpus estimates each labeler's reliability, its
-posteriors train a logistic classifier on the votes and the kind, and the classifier decides the candidates.
+Expectation-maximisation over the votes of the whole corpus estimates, for each kind, how often each labeler votes either
+way on true and on false candidates, and how many are true; nothing but PRIOR_VOTES pseudo-candidates holds the
+estimates. Its posteriors train a logistic classifier on the votes, the kind and what the span and its edges look like
+(FEATURES, which no labeler reads), and the classifier decides the candidates.
 
-A candidate enters the estimation only through its kind and votes, so what is gathered is one count for each
-of at most len(KINDS) * 3 ** len(LABELERS) patterns, whatever the size of the corpus. A text is read whole.
+A candidate enters the estimation only through its kind, votes and features, each of a few values, so what is gathered
+is one count for each pattern, whose number has a bound whatever the size of the corpus. A text is read whole, in time
+in proportion to its length.
 
 Cases: null text counts as empty; repeated rows are handled each; an empty corpus keeps the starting
 reliabilities; spans are code points, end exclusive; added spans never overlap a base span or each other
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +33,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import quoted
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "identity", "local_phone", "name", "spelled_email")
+ADDED_KINDS = ("iban", "identity", "local_phone", "name", "secret", "spelled_email")
 KINDS = BASE_KINDS + ADDED_KINDS
 LABELERS = ("shape", "check", "gazetteer", "context_for", "context_against", "boundary")
-#: Accuracies to start from, in the order of LABELERS, and the band below and above them that they stay in, so that
-#: labelers that nearly always agree (shape and boundary) can't outvote the arithmetic of a check.
-START, BELOW, ABOVE = (0.65, 0.95, 0.85, 0.85, 0.85, 0.65), 0.1, 0.04
+#: How often a labeler is first taken to vote for, and against, a true candidate and a false one.
+START = {"shape": (0.1, 0.1, 0.1, 0.5), "check": (0.8, 0.05, 0.2, 0.6), "gazetteer": (0.5, 0.02, 0.1, 0.1), "context_for": (0.5, 0.02, 0.1, 0.1), "context_against": (0.02, 0.05, 0.02, 0.3), "boundary": (0.02, 0.05, 0.02, 0.3)}
+#: Length of the span, share of its digits, what stands before it, what stands after it.
+FEATURES = 4
 ITERATIONS, PRIOR_VOTES = 30, 10.0
-SHARES = {k: 0.6 if k in BASE_KINDS else 0.4 for k in KINDS}
+SHARES = {k: 0.6 if k in BASE_KINDS else 0.5 for k in KINDS}
 THRESHOLD = 0.6
 AROUND = 48
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match always starts and ends with whole runs of digits
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -51,13 +56,33 @@ _NUMBERS = {
     "local_phone": re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z-])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
 }
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?[\[(]at[\])]\s?[A-Za-z0-9-]+(?:\s?(?:[\[(]dot[\])]|\.)\s?[A-Za-z0-9-]+)+", re.I)
+_AT = re.compile(r"\s?[\[(]at[\])]", re.I)
+_REST = re.compile(r"\s?[A-Za-z0-9-]++(?:\s?(?:[\[(]dot[\])]|\.)\s?[A-Za-z0-9-]++)++", re.I)
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_TOLD_KEY = re.compile(r"(?<![A-Za-z])(?:api[ _-]?key|token|secret|password|passwd|pwd)\x20{0,3}[:=]\x20{0,3}[\"']?([!-&(-~]{8,200})", re.I)
 _TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Monsieur", "Madame", "Señor", "Señora")
 _TITLED = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora)\.?\x20([A-ZÀ-Ý][\w'-]+(?:\x20[A-ZÀ-Ý][\w'-]+){0,2})")
 _TOLD = re.compile(r"(?<!\w)(?:my name is|mein Name ist|je m'appelle|me llamo|Name:|Nom:|Nombre:)\x20?([A-ZÀ-Ý][\w'-]+(?:\x20[A-ZÀ-Ý][\w'-]+){0,2})")
 _TELLS = ("my name is", "mein Name ist", "je m'appelle", "me llamo", "Name:", "Nom:", "Nombre:")
-_FIRST_NAMES = frozenset("Alice Ana Anna Antonio Carlos Carmen Claire David Elena Emma Hans Isabel James Jean John José Juan Julia Karl Laura Lucas Luis Maria Marie Mark Martin Mary Michael Miguel Paul Peter Pierre Robert Sarah Sophie Thomas William".split())
-_DOMAINS = frozenset("com org net edu gov int info io de fr es uk eu us ca au jp ch at it nl".split())
+#: Gazetteers: common first names of the four languages, top-level domains, and how known services' keys begin.
+_FIRST_NAMES = frozenset(
+    """Aaron Adam Adrian Agnès Alain Alan Albert Alejandro Alex Alexander Alfonso Alfred Alice Alicia Álvaro Amanda Amélie Amy Ana André Andrea
+    Andreas Andrew Ángel Anna Anne Anthony Antoine Antonio Arthur Ashley Barbara Beatriz Ben Bernard Bernd Birgit Brian Brigitte Camille Carla
+    Carlos Carmen Carol Caroline Catherine Cécile Charles Charlotte Christian Christine Christoph Claire Clara Claude Claudia Cristina Daniel
+    David Deborah Dennis Diana Diego Dieter Dominique Donald Dorothy Edward Elena Elizabeth Emily Emma Enrique Eric Erik Ernst Esther Eva
+    Fernando François Frank Franz Friedrich Gabriel Gabriele George Gérard Gerhard Gloria Greta Guillaume Günter Hannah Hans Heinz Helen Helga
+    Henri Henry Hugo Ingrid Irene Isabel Isabelle Jack Jacob Jacques James Jan Jane Javier Jean Jennifer Jessica Joan Johann Johannes John Jorge
+    José Joseph Juan Julia Julie Julien Jürgen Karen Karin Karl Katharina Kevin Klaus Laura Léa Linda Lisa Louis Louise Lucas Lucía Luis Lukas
+    Manuel Marc Marcel Margaret María Maria Marie Mario Mark Marta Martin Mary Mathieu Matthew Max Michael Michel Miguel Monika Nancy Nathalie
+    Nicolas Olivier Oscar Pablo Patricia Patrick Paul Pedro Peter Philippe Pierre Rachel Ralf Raúl Rebecca Richard Robert Rosa Sandra Sara Sarah
+    Sergio Sofía Sophie Stefan Susan Sylvie Teresa Thomas Ursula Valérie Werner William Wolfgang Yves""".split()
+)
+_DOMAINS = frozenset(
+    """ac app ar at au be biz br ca cat cc ch cl cloud cn co com cz de dev dk edu es eu example fi fr gov gr hk hu id ie il in info int invalid io
+    is it jp kr lt lu lv me mil mobi mx museum name net nl no nz org pe ph pl pro pt ro ru se sg shop si site sk store test th tr tv tw ua uk
+    us uy ve vn xyz za""".split()
+)
+_KEY_STARTS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "eyJ", "SG.", "npm_", "hf_", "ya29.")
 _CUES = {
     "email": ("mail", "contact", "correo", "courriel"),
     "ip": ("ip", "server", "host", "address", "login"),
@@ -68,8 +93,9 @@ _CUES = {
     "iban": ("iban", "account", "konto", "compte", "cuenta"),
     "name": ("name", "dear", "signed", "sincerely", "contact"),
     "spelled_email": ("mail", "contact", "write"),
+    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential"),
 }
-_AGAINST = ("isbn", "issn", "version", "page ", "figure", "chapter", "section", "invoice", "order no", "serial", "price", "license", "licence")
+_AGAINST = ("isbn", "issn", "version", "page ", "figure", "chapter", "section", "invoice", "order no", "serial", "price", "license", "licence", "commit", "checksum", "sha1", "sha256", "md5", "digest", "uuid")
 
 
 def luhn(digits: str) -> bool:
@@ -103,12 +129,43 @@ def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Spelled-out addresses, found from their at signs as _emails finds its own."""
+    done = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        rest = _REST.match(text, m.end()) if start < m.start() else None
+        if rest:
+            yield start, rest.end()
+            done = rest.end()
+
+
+def _keys(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Long words of keys' signs with a digit among letters, and what is told as a key; whether each looks random."""
+    seen = set()
+    for m in _TOLD_KEY.finditer(text):
+        end = m.start(1) + len(m[1].rstrip("\"';,.!?)"))
+        if end - m.start(1) >= 8:
+            seen.add((m.start(1), end))
+    for m in _KEY.finditer(text):
+        if _DIGIT.search(m[0]) and not m[0].isdigit() and m[0].count("-") + m[0].count("/") <= len(m[0]) // 6:
+            seen.add(m.span())
+    for a, b in sorted(seen):
+        signs = text[a:b]
+        yield a, b, len(set(signs)) >= min(10, len(signs) // 2) and any(c in "0123456789" for c in signs)
+
+
 def proposals(text: str) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, whether the kind's validity check holds) of all matches, failing ones included."""
+    """(kind, start, end, whether the kind's validity check holds) of all matches, failing ones included.
+
+    Candidates of the added kinds that overlap a base span are left out: they are decided."""
     found = [("email", a, b, True) for a, b in _emails(text)]
+    added = []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            found.append(("ip", *m.span(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))))
+            found.append(("ip", *m.span(), all(len(p) <= 3 and int(p) <= 255 for p in (p.lstrip("0") or "0" for p in m[0].split(".")))))
         for m in _CARD.finditer(text):
             if m.end() - m.start() > 7:  # shorter ones can't be cards and tell nothing
                 digits = _digits(m[0])
@@ -117,16 +174,38 @@ def proposals(text: str) -> list[tuple[str, int, int, bool]]:
             found += [("phone", *m.span(), 9 <= len(_digits(m[0])) <= 15) for m in _PHONE.finditer(text)]
         for kind, pattern in _NUMBERS.items():
             for m in pattern.finditer(text):
-                found.append((kind, *m.span(), _iban(m[0]) if kind == "iban" else m[0][:3] not in ("000", "666") if kind == "identity" else True))
+                added.append((kind, *m.span(), _iban(m[0]) if kind == "iban" else m[0][:3] not in ("000", "666") if kind == "identity" else True))
+        added += [("secret", *k) for k in _keys(text)]
     if "at)" in text or "at]" in text or "AT)" in text or "AT]" in text:
-        found += [("spelled_email", *m.span(), True) for m in _SPELLED.finditer(text)]
+        added += [("spelled_email", *s, True) for s in _spelled(text)]
     if any(x in text for x in _TITLES):
-        found += [("name", *m.span(1), True) for m in _TITLED.finditer(text)]
+        added += [("name", *m.span(1), True) for m in _TITLED.finditer(text)]
     if any(x in text for x in _TELLS):
-        found += [("name", *m.span(1), True) for m in _TOLD.finditer(text)]
+        added += [("name", *m.span(1), True) for m in _TOLD.finditer(text)]
+    if added:
+        taken = _merged((a, b) for _, a, b, ok in found if ok)
+        found += [c for c in added if _free(taken, c[1], c[2])]
     return found
 
 
+def _merged(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends, ascending, of the union of spans."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _free(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Whether no span of a union overlaps [a, b)."""
+    k = bisect_right(taken[1], a)
+    return k == len(taken[0]) or taken[0][k] >= b
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """Base spans by kind as listed, then start."""
     return _base(proposals(text or ""))
@@ -141,63 +220,95 @@ def labels(text: str, kind: str, start: int, end: int, ok: bool) -> str:
     body, before = text[start:end], text[max(0, start - AROUND) : start].lower()
     near = before + " " + text[end : end + AROUND // 2].lower()
     digits = sum(c in "0123456789" for c in body)
+    known = "0"
     if kind in ("email", "spelled_email"):
-        shape = "+" if len(body) <= 254 and ".." not in body else "-"
-        known = "+" if re.split(r"[^A-Za-z]+", body)[-1].lower() in _DOMAINS else "0"
+        shape = "0" if len(body) <= 254 and ".." not in body else "-"
+        known = "+" if re.split(r"[^A-Za-z]+", body[-40:])[-1].lower() in _DOMAINS else "0"
     elif kind == "name":
         shape = "+" if " " in body else "0"
         known = "+" if body.split(" ")[0] in _FIRST_NAMES else "0"
+    elif kind == "secret":
+        mixed = any(c.isupper() for c in body) and any(c.islower() for c in body)
+        shape = "+" if len(body) in (32, 40, 64) or mixed else "0" if len(body) <= 128 else "-"
+        known = "+" if body.startswith(_KEY_STARTS) else "0"
     else:
-        shape = "+" if {"ip": 7 <= len(body) <= 15, "card": digits in (15, 16), "phone": digits >= 10}.get(kind, True) else "-"
-        known = "0"
+        shape = "0" if {"ip": 7 <= len(body) <= 15, "card": digits in (15, 16), "phone": digits >= 10}.get(kind, True) else "-"
     check = ("+" if kind not in ("name", "local_phone") else "0") if ok else "-"
     cue = "+" if any(c in near for c in _CUES[kind]) else "0"
     against = "-" if any(c in before for c in _AGAINST) else "0"
     inside = (start and (text[start - 1].isalnum() or text[start - 1] in "._")) or (end < len(text) and text[end].isalnum())
-    return shape + check + known + cue + against + ("-" if inside else "+")
+    return shape + check + known + cue + against + ("-" if inside else "0")
+
+
+def _edge(c: str) -> str:
+    return "w" if not c or c.isspace() else "q" if c in "\"'`<>=:" else "a" if c.isalnum() else "p"
+
+
+def features(text: str, start: int, end: int) -> str:
+    """FEATURES signs of what a candidate and its edges look like."""
+    n = end - start
+    digits = sum(c in "0123456789" for c in text[start:end])
+    size = "01234"[sum(n > most for most in (8, 16, 24, 48))]
+    return size + ("0" if not digits else "3" if digits == n else "1" if 2 * digits < n else "2") + _edge(text[start - 1 : start] if start else "") + _edge(text[end : end + 1])
 
 
 def candidates(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
-    """The base spans, and (kind, start, end, votes) of every candidate."""
+    """The base spans, and (kind, start, end, votes and features) of every candidate."""
     text = text or ""
     found = proposals(text)
-    return _base(found), [(k, a, b, labels(text, k, a, b, ok)) for k, a, b, ok in found]
+    return _base(found), [(k, a, b, labels(text, k, a, b, ok) + features(text, a, b)) for k, a, b, ok in found]
+
+
+def posteriors(counts: dict[tuple[str, str], int]) -> tuple[dict[tuple[str, str], float], dict[str, np.ndarray], dict[str, float]]:
+    """From how often each (kind, votes and features) occurs: the probability that such a candidate is true; for each kind
+    how often each labeler votes for, against (last axis) a false and a true one (first axis); and the share that is true.
+
+    Kinds are estimated each by itself: what a labeler is worth differs between them."""
+    start = np.array([[START[x][2:] for x in LABELERS], [START[x][:2] for x in LABELERS]])
+    made, every, shares = {}, {}, {}
+    for kind in sorted({k for k, _ in counts}):
+        keys = sorted(k for k in counts if k[0] == kind)
+        n = np.array([counts[k] for k in keys], dtype=float)
+        cast = np.array([[{"+": 0, "-": 1, "0": 2}[c] for c in v[: len(LABELERS)]] for _, v in keys])
+        hit = np.stack([cast == 0, cast == 1], axis=-1).astype(float)
+        rates, share = start, SHARES[kind]
+        for _ in range(ITERATIONS):
+            full = np.concatenate([rates, 1 - rates.sum(axis=2, keepdims=True)], axis=2).clip(1e-9)
+            logs = np.log(full)[:, np.arange(len(LABELERS)), cast].sum(axis=2)  # (class, pattern)
+            posterior = 1 / (1 + np.exp(np.clip(np.log(1 - share) - np.log(share) + logs[0] - logs[1], -700, 700)))
+            weigh = np.stack([n * (1 - posterior), n * posterior])
+            rates = (np.einsum("ck,klv->clv", weigh, hit) + PRIOR_VOTES * start) / (weigh.sum(axis=1) + PRIOR_VOTES)[:, None, None]
+            share = float((weigh[1].sum() + PRIOR_VOTES * SHARES[kind]) / (n.sum() + PRIOR_VOTES))
+        made |= zip(keys, posterior.tolist())
+        every[kind], shares[kind] = rates, share
+    return made, every, shares
 
 
 def fit(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
-    """The classifier's probability for each pattern (kind, votes), from how often each occurs."""
+    """The classifier's probability for each (kind, votes and features), from how often each occurs."""
     keys = sorted(counts)
     if not keys:
         return {}
-    n = np.array([counts[k] for k in keys], dtype=float)
-    votes = np.array([[{"+": 1, "-": -1}.get(c, 0) for c in v] for _, v in keys])
-    start = np.array(START)
-    share, accuracy = dict(SHARES), start
-    kinds = np.array([KINDS.index(k) for k, _ in keys])
-    for _ in range(ITERATIONS):
-        prior = np.array([share[k] for k, _ in keys])
-        odds = np.log(prior / (1 - prior)) + (votes * np.log(accuracy / (1 - accuracy))).sum(axis=1)
-        posterior = 1 / (1 + np.exp(-odds))
-        right = np.where(votes > 0, posterior[:, None], 1 - posterior[:, None]) * (votes != 0)
-        accuracy = ((n[:, None] * right).sum(axis=0) + PRIOR_VOTES * start) / ((n[:, None] * (votes != 0)).sum(axis=0) + PRIOR_VOTES)
-        accuracy = accuracy.clip(start - BELOW, start + ABOVE)
-        for i, k in enumerate(KINDS):
-            mine = kinds == i
-            share[k] = float(np.clip(((n * posterior)[mine].sum() + PRIOR_VOTES * SHARES[k]) / (n[mine].sum() + PRIOR_VOTES), 0.1, 0.9))
-    x = np.hstack([votes > 0, votes < 0, np.eye(len(KINDS))[kinds]]).astype(float)
-    weights, rate = np.zeros(x.shape[1]), n / n.sum()
-    for _ in range(400):  # Newton steps would be fewer; these are a few thousand rows
+    given = posteriors(counts)[0]
+    n, told = np.array([counts[k] for k in keys], dtype=float), np.array([given[k] for k in keys])
+    signs = [{(i, c): None for _, v in keys for i, c in enumerate(v)}, {k: None for k, _ in keys}]
+    place = {x: i for i, x in enumerate([*signs[0], *signs[1]])}
+    x = np.zeros((len(keys), len(place)))
+    for r, (k, v) in enumerate(keys):
+        x[r, [place[k], *(place[i, c] for i, c in enumerate(v))]] = 1
+    weights, rate = np.zeros(x.shape[1]), np.sqrt(n) / np.sqrt(n).sum()  # a rare pattern is heard beside a common one
+    for _ in range(500):
         p = 1 / (1 + np.exp(-x @ weights))
-        weights -= 2.0 * (x.T @ (rate * (p - posterior)) + 1e-4 * weights)
+        weights -= 2.0 * (x.T @ (rate * (p - told)) + 1e-4 * weights)
     return dict(zip(keys, (1 / (1 + np.exp(-x @ weights))).tolist()))
 
 
 def chosen(base: list[tuple[str, int, int]], found: list[tuple[str, int, int, str]], accepted: frozenset[tuple[str, str]]) -> list[tuple[str, int, int]]:
     """Base spans and the accepted ones of the added kinds that overlap neither them nor each other, in reporting order."""
-    taken, added = [(a, b) for _, a, b in base], []
+    taken, last, added = _merged((a, b) for _, a, b in base), 0, []
     for k, a, b, v in sorted((c for c in found if c[0] in ADDED_KINDS and (c[0], c[3]) in accepted), key=lambda c: (c[1], -c[2])):
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
+        if a >= last and _free(taken, a, b):
+            last = b
             added.append((k, a, b))
     return base + sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
