@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.conftest import ODD
-from tidemark.llm import audio, htmltree, licenses, linededup, packing, pii, quality, simhash, treebpe, warc, wrapper
+from tidemark.llm import audio, htmltree, licenses, linededup, packing, pii, quality, simhash, treebpe, warc
 
 WORD_BPE = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
@@ -54,40 +54,6 @@ def test_simple_tree_matching_is_the_largest():
         assert matcher.weight(a, b) == plain(a, b) == len(matcher.align(a, b))
 
 
-PAGE = '<html><head><title>T</title></head><body><div class="top">Site of things</div><nav><a href="/">home</a></nav><p>Subscribe now</p><p>{}</p><p>{}</p><div class="comments"><p>reader</p></div></body></html>'
-
-
-def test_wrappers(spark):
-    rows = [(i, f"http://h/{i}", PAGE.format(f"one &amp; {i}", f"two\n <b>{i}</b>")) for i in range(20)]
-    rows += [(90, "http://h/90", None), (91, None, "<p>alone<br>here<p>unclosed &lt;x"), (92, "odd", ""), (None, "http://h/9", "<div>" * 500 + "deep")]
-    got = {r.page_id: r for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i].text == f"one & {i}\ntwo {i}" for i in range(20))
-    assert (got[90].text, got[91].text, got[92].text, got[None].text) == ("", "alone here\nunclosed <x", "", "deep")
-    assert all(r.n_chars == len(r.text) for r in got.values())
-
-
-def test_articles_are_whole(spark):
-    import html
-    import re
-
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    got = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
-    for r in pages.collect():
-        inside = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
-        parts = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", inside)]
-        assert got[r.page_id] == "\n".join(p for p in parts if p)
-
-
-def test_no_pages(spark):
-    assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="<>/=\"' apdivul!-&;x", max_size=120))
-def test_any_markup_parses(markup):
-    wrapper.main_text(markup, None, frozenset(), htmltree.Matcher())
-
-
 # 3. telephony
 
 
