@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidemark.llm.common import quoted
+from tidemark.llm.common import quoted, unused
 
 BLOCK = 192
 FILL = b" "
@@ -33,6 +34,8 @@ RATE = 8000
 PCM_RATE = 16000
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 GROUP_BLOCKS = 1 << 14
+#: Zero crossings of the resampling filter on each side, and output samples that are made at once.
+TAPS, CHUNK = 16, 4096
 
 #: The step sizes of IMA ADPCM, and how each code's size moves the step index.
 STEPS = (
@@ -134,16 +137,17 @@ def parse(file: bytes | None) -> dict | None:
 
 
 def samples_of(file: bytes | None) -> tuple[np.ndarray, int] | None:
-    """16-bit samples and rate of a mono file in any of the known formats; None for others."""
+    """16-bit samples and rate of a file in any of the known formats, channels averaged; None for others and for ADPCM of several channels."""
     x = parse(file)
-    if not x or x["channels"] != 1 or not x["rate"]:
+    if not x or not x["channels"] or not x["rate"]:
         return None
-    raw = np.frombuffer(x["data"], dtype=np.uint8)
-    if x["kind"] in (MULAW, ALAW):
-        return (MULAW_TABLE if x["kind"] == MULAW else ALAW_TABLE)[raw], x["rate"]
-    if x["kind"] == PCM and x["bits"] == 16:
-        return raw[: len(raw) // 2 * 2].view("<i2"), x["rate"]
-    if x["kind"] == ADPCM and x["block"] > 4:
+    raw, channels = np.frombuffer(x["data"], dtype=np.uint8), x["channels"]
+    if x["kind"] in (MULAW, ALAW) or x["kind"] == PCM and x["bits"] == 16:
+        each = raw[: len(raw) // 2 * 2].view("<i2") if x["kind"] == PCM else (MULAW_TABLE if x["kind"] == MULAW else ALAW_TABLE)[raw]
+        if channels > 1:
+            each = each[: len(each) // channels * channels].reshape(-1, channels).mean(axis=1).round().astype("<i2")
+        return each, x["rate"]
+    if x["kind"] == ADPCM and x["block"] > 4 and channels == 1:
         whole = raw[: len(raw) // x["block"] * x["block"]].reshape(-1, x["block"])
         parts = [decode_adpcm(whole[i : i + GROUP_BLOCKS]).ravel() for i in range(0, len(whole), GROUP_BLOCKS)]
         return np.concatenate(parts) if parts else np.zeros(0, "<i2"), x["rate"]
@@ -159,7 +163,7 @@ _UP = _half_band()
 
 
 def resample(samples: np.ndarray, rate: int, to: int = PCM_RATE) -> np.ndarray:
-    """16-bit samples at another rate: a windowed-sinc filter for doubling, else linear between neighbours."""
+    """16-bit samples at another rate by a windowed-sinc filter, which also takes off what a lower rate can't hold."""
     if rate == to or not len(samples):
         return samples.astype("<i2")
     if to == 2 * rate:
@@ -167,7 +171,16 @@ def resample(samples: np.ndarray, rate: int, to: int = PCM_RATE) -> np.ndarray:
         wide[::2] = samples
         made = np.convolve(wide, _UP)[len(_UP) // 2 :][: 2 * len(samples)]  # "same" would be as long as the filter for short inputs
     else:
-        made = np.interp(np.arange(len(samples) * to // rate) * (rate / to), np.arange(len(samples)), samples)
+        cut = min(1.0, to / rate)
+        half, number = int(np.ceil(TAPS / cut)), len(samples) * to // rate
+        padded, around = np.pad(samples.astype(np.float64), half), np.arange(1 - half, half + 1)
+        made = np.empty(number)
+        for first in range(0, number, CHUNK):
+            at = np.arange(first, min(first + CHUNK, number)) * (rate / to)
+            base = np.floor(at).astype(np.int64)
+            off = around[None, :] - (at - base)[:, None]
+            weights = np.sinc(off * cut) * (0.5 + 0.5 * np.cos(np.pi * np.clip(off / half, -1, 1)))
+            made[first : first + len(at)] = (padded[base[:, None] + around[None, :] + half] * weights).sum(axis=1) / weights.sum(axis=1)
     return np.clip(np.rint(made), -32768, 32767).astype("<i2")
 
 
@@ -177,6 +190,18 @@ def to_pcm(file: bytes | None, rate: int = PCM_RATE) -> bytes | None:
     return None if found is None else wav(resample(found[0], found[1], rate).tobytes(), PCM, rate, 2, 16)
 
 
+def converted(media: DataFrame, media_col: str = "media", rate: int = PCM_RATE, out: str = "pcm") -> DataFrame:
+    """media and one more column, out: each file of media_col as a 16-bit PCM file at ``rate``; null where it can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([to_pcm(f.as_py(), rate) for f in batch.column(place)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "made"])
+
+    place, plain = media.columns.index(media_col), media.toDF(*(f"c{i}" for i in range(len(media.columns))))  # names may hold dots, or clash
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("made", BinaryType())])).toDF(*media.columns, unused(media, out))
+
+
 def payload(text: str | None) -> tuple[int, bytes]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return len(raw), raw + FILL * (-len(raw) % BLOCK if raw else BLOCK)
@@ -216,14 +241,17 @@ def _adpcm_checks(payloads: list[bytes]) -> list[int]:
     return made
 
 
-def describe(file: bytes, adpcm: int) -> str:
-    """rms, peak and sign changes of the file's samples, and CRC-32s of the samples, of them resampled, and of the payload as A-law and as ADPCM."""
-    samples, rate = samples_of(file)
+def describe(file: bytes | None, pcm: bytes | None, adpcm: int) -> str | None:
+    """None for what isn't a file of a known format; else rms, peak and sign changes of the file's samples, and CRC-32s of the samples, of the stored PCM, and of the payload as A-law and as ADPCM."""
+    found, made = samples_of(file), parse(pcm)
+    if found is None or made is None:
+        return None
+    samples = found[0]
     wide = samples.astype(np.int64)
     rms = int(np.sqrt((wide * wide).sum() // max(len(wide), 1)))
     signs = int(np.count_nonzero(np.diff(np.signbit(samples))))
     raw = np.frombuffer(parse(file)["data"], dtype=np.uint8)
-    checks = (zlib.crc32(samples), zlib.crc32(resample(samples, rate)), zlib.crc32(ALAW_TABLE[raw]), adpcm)
+    checks = (zlib.crc32(samples), zlib.crc32(made["data"]), zlib.crc32(ALAW_TABLE[raw]), adpcm)
     return f"rms={rms};peak={int(np.abs(wide).max(initial=0))};signs={signs};" + ";".join(f"{k}={v:08x}" for k, v in zip(("ulaw", "pcm", "alaw", "adpcm"), checks))
 
 
@@ -231,17 +259,21 @@ _READ = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32
 
 
 def read(stored: DataFrame) -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of ``store``'s rows, from the stored files."""
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of ``store``'s rows, from the stored files.
+
+    The file as resampled PCM is a column of its own on the way, from which the checksum is taken. A file that isn't
+    one has null for all that would be read from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = batch.column(2).to_pylist()
-            payloads = [parse(f)["data"] for f in files]
+            files, pcms = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            payloads = [(parse(f) or {}).get("data") for f in files]
+            checks = _adpcm_checks([(p or b"")[: len(p or b"") // BLOCK * BLOCK] for p in payloads])
             rows = [
-                (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), describe(f, c))
-                for f, p, c in zip(files, payloads, _adpcm_checks(payloads))
+                (None,) * 3 + ((None, None) if f is None else (len(f), hashlib.sha256(f).hexdigest())) + (None,) if p is None else (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), describe(f, m, c))
+                for f, p, m, c in zip(files, payloads, pcms, checks)
             ]
             columns = list(zip(*rows)) if rows else [()] * len(_READ)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, _READ.values()))], names=["id", "n_bytes", *_READ])
 
-    return stored.mapInArrow(run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return converted(stored.select("id", "n_bytes", "media")).mapInArrow(run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
