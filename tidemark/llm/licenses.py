@@ -1,7 +1,7 @@
 """License scans as an exact set-similarity join between text blocks and license templates.
 
-A block is a line; a line of more than BLOCK words is covered by overlapping blocks of BLOCK words, half of
-it apart, so that any passage as long as a template lies whole in one. A template is in a block when the
+Blocks are windows of words over the whole text, line breaks or not: for a template of n words windows of 2 n words,
+half of n apart, so that any passage of up to one and a half times its length lies whole in one. A template is in a block when the
 block's words hold at least THRESHOLD of the template's distinct words. Words are ordered by how many
 documents of the whole corpus have them, rarest first. A pair can only qualify if the block has one of the
 first |T| - need + 1 words of the template in that order (prefix filter), at least ``need`` distinct words
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import quoted
 
 THRESHOLD = 0.85
-BLOCK = 200
 
 #: Phrase and label.
 PHRASES = {
@@ -56,8 +55,8 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
-#: A-Z become a-z, other ASCII signs but digits and letters become spaces, bytes of other characters stay; \n is kept for blocks.
-_TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 10 else 32 for c in range(256))
+#: A-Z become a-z, other ASCII signs but digits and letters become spaces, bytes of other characters stay.
+_TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -85,20 +84,29 @@ class Index:
             need = math.ceil(threshold * len(ranks) - 1e-9)
             for r in ranks[: len(ranks) - need + 1]:
                 self.prefixes.setdefault(order[r], []).append(len(self.templates))
-            self.templates.append((label, ranks, need))
+            self.templates.append((label, ranks, need, len(words(text))))
         self.first = frozenset(self.prefixes)
 
-    def found(self, block: list[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of every template that the block holds."""
-        distinct = set(block)
-        asked = sorted({t for w in self.first & distinct for t in self.prefixes[w]})
-        if not asked:
-            return
-        held = sorted(self.rank[w] for w in distinct if w in self.rank)
-        for t in asked:
-            label, ranks, need = self.templates[t]
-            if len(distinct) >= need and (shared := _overlap(ranks, held, need)) >= need:
-                yield label, shared / len(ranks)
+    def found(self, held: list[bytes]) -> Iterator[tuple[str, float]]:
+        """(label, containment) of every template that a window of a text's words holds. Only windows with a word of the template's prefix are looked at."""
+        asked: set[tuple[int, int]] = set()
+        for at, w in enumerate(held):
+            if w in self.first:
+                for t in self.prefixes[w]:
+                    size, step = window(self.templates[t][3])
+                    asked.update((t, start) for start in range(max(0, (at - size) // step + 1) * step, at + 1, step))
+        for t, start in asked:
+            label, ranks, need, n = self.templates[t]
+            distinct = set(held[start : start + window(n)[0]])
+            if len(distinct) >= need:
+                shared = _overlap(ranks, sorted(self.rank[w] for w in distinct if w in self.rank), need)
+                if shared >= need:
+                    yield label, shared / len(ranks)
+
+
+def window(n: int) -> tuple[int, int]:
+    """Words of a block for a template of n words, and words from one block's start to the next."""
+    return 2 * n, max(1, n // 2)
 
 
 def _overlap(a: list[int], b: list[int], need: int) -> int:
@@ -116,16 +124,6 @@ def _overlap(a: list[int], b: list[int], need: int) -> int:
     return shared
 
 
-def blocks(low: bytes) -> Iterator[list[bytes]]:
-    for line in low.split(b"\n"):
-        held = line.split()
-        if len(held) <= BLOCK:
-            yield held
-        else:
-            for at in range(0, len(held) - BLOCK // 2, BLOCK // 2):
-                yield held[at : at + BLOCK]
-
-
 def phrase_places(held: list[bytes]) -> list[tuple[int, str]]:
     """(first word, label) of each place where a phrase's words stand consecutively."""
     joined, places = b" " + b" ".join(held) + b" ", []
@@ -140,16 +138,14 @@ def phrase_places(held: list[bytes]) -> list[tuple[int, str]]:
 
 def scan_text(text: str | None, index: Index) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score)."""
-    low = _bytes(text)
-    held = low.split()
+    held = words(text)
     places = phrase_places(held)
     base = {label for _, label in places}
     labels, score = set(base), 1.0 if base else 0.0
     if not index.first.isdisjoint(held):
-        for block in blocks(low):
-            for label, share in index.found(block):
-                labels.add(label)
-                score = max(score, share)
+        for label, share in index.found(held):
+            labels.add(label)
+            score = max(score, share)
     starts = [p for p, _ in places]
     return len(held), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 6)
 
