@@ -2,8 +2,8 @@
 
 Documents longer than a sequence are cut into full pieces and a rest. How the pieces of each length are put
 together is decided on the histogram of lengths, which has one entry for each length up to the sequence's,
-however many pieces there are. Taking lengths from the longest down, the plan looks the remaining gap up
-among the single lengths, the sums of two and the sums of three that are still available, and uses the
+however many pieces there are. Single lengths and the sums of two and of three are indexed by their value; taking
+lengths from the longest down, the plan looks the remaining gap up in the three indexes and uses the available
 combination that fills the gap exactly as often as the counts allow. What no combination completes is packed
 by best fit, longest first, many equal pieces at a time.
 
@@ -53,33 +53,63 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def complements(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One to three lengths, each available (have is the counts by length), that sum to gap; the longest first length wins."""
-    if gap <= 0:
-        return None
-    if have[gap]:
-        return (gap,)
-    pair = _pair(have, gap)
-    if pair:
-        return pair
-    for a in np.flatnonzero(have[:gap])[::-1].tolist():
-        if 3 * a < gap:  # a is the longest of the three
-            break
-        have[a] -= 1
-        rest = _pair(have, gap - a)
-        have[a] += 1
-        if rest:
-            return (a, *rest)
-    return None
-
-
-def _pair(have: np.ndarray, gap: int) -> tuple[int, int] | None:
-    if gap < 2:
+class Sums:
+    """Sums of one, two and three lengths, each indexed by its value with the combination whose longest length is the
+    longest. Counts only fall, so an entry is looked at again when it is used and a part has run out, and
+    a sum that has no combination any more never has one again."""
+
+    def __init__(self, have: np.ndarray) -> None:
+        """have: how many pieces there are of each length. It is read as it changes."""
+        self.have, size = have, len(have)
+        self.pair, self.triple = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)  # the longest length of each, 0 for none
+        lengths = np.flatnonzero(have)
+        for a in lengths.tolist():
+            sums = a + lengths[lengths <= a]
+            self.pair[sums[sums < size]] = a
+        pairs = np.flatnonzero(self.pair)
+        for a in lengths.tolist():
+            sums = a + pairs[self.pair[pairs] <= a]
+            self.triple[sums[sums < size]] = a
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One to three available lengths that sum to gap."""
+        if gap <= 0:
+            return None
+        if self.have[gap]:
+            return (gap,)
+        return self._pair(gap) or self._triple(gap)
+
+    def _pair(self, gap: int) -> tuple[int, int] | None:
+        a = int(self.pair[gap])
+        if a and not (self.have[a] and self.have[gap - a] > (2 * a == gap)):
+            there = self.have[:gap] > 0
+            both = np.flatnonzero(there[1:] & there[:0:-1]) + 1  # a and gap - a are there
+            both = both[(2 * both != gap) | (self.have[both] > 1)]
+            a = self.pair[gap] = int(both[-1]) if len(both) else 0
+        return (a, gap - a) if a else None
+
+    def _triple(self, gap: int) -> tuple[int, int, int] | None:
+        first = int(self.triple[gap])
+        for a in np.flatnonzero(self.have[: first + 1])[::-1].tolist():
+            if 3 * a < gap:  # a is the longest of the three
+                break
+            if not self.pair[gap - a]:
+                continue
+            self.have[a] -= 1
+            before = int(self.pair[gap - a])
+            rest = self._pair(gap - a)
+            self.have[a] += 1
+            if rest:
+                self.triple[gap] = a
+                return (a, *rest)
+            self.pair[gap - a] = before  # it may be there without this a
+        self.triple[gap] = 0
         return None
-    there = have[:gap] > 0
-    both = np.flatnonzero(there[1:] & there[:0:-1]) + 1  # a and gap - a are there
-    both = both[(2 * both != gap) | (have[both] > 1)]
-    return (int(both[-1]), gap - int(both[-1])) if len(both) else None
+
+
+def complements(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
+    """One to three lengths, each available (have is the counts by length), that sum to gap."""
+    return Sums(have).complement(gap)
 
 
 Plan = list[tuple[list[tuple[int, int]], int]]
@@ -103,11 +133,11 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> Plan:
 
 def _exact(have: np.ndarray, length: int) -> Plan:
     """Sequences filled exactly by up to four pieces, longest lengths first; takes what it uses from have."""
-    made: Plan = []
+    made, sums = [], Sums(have)
     for n in range(length - 1, 0, -1):
         while have[n]:
             have[n] -= 1
-            found = complements(have, length - n)
+            found = sums.complement(length - n)
             have[n] += 1
             if not found:
                 break
