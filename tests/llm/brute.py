@@ -79,22 +79,20 @@ def base_pii(text):
 LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def licenses(text, templates, phrases, threshold, block):
+def licenses(text, templates, phrases, threshold):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words, places = LICENSE_WORD.findall(low), []
     for phrase, label in phrases.items():
         p = phrase.split()
         places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
     base, labels, score = {x for _, x in places}, set(), 1.0 if places else 0.0
-    for line in low.split("\n"):
-        held = LICENSE_WORD.findall(line)
-        cuts = [held] if len(held) <= block else [held[a : a + block] for a in range(0, len(held) - block // 2, block // 2)]
-        for cut in cuts:
-            for label, t in templates:
-                want = set(LICENSE_WORD.findall(t.lower()))
-                share = len(want & set(cut)) / len(want)
-                if share >= threshold - 1e-9:
-                    labels.add(label)
-                    score = max(score, share)
+    for label, t in templates:
+        each = LICENSE_WORD.findall(t.lower())
+        want, n = set(each), len(each)
+        for start in range(0, len(words), max(1, n // 2)):
+            share = len(want & set(words[start : start + 2 * n])) / len(want)
+            if share >= threshold - 1e-9:
+                labels.add(label)
+                score = max(score, share)
     starts = [a for a, _ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), round(score, 6)

@@ -10,8 +10,9 @@ window grows until it shares neighbouring tokens with both halves; every pair of
 then stands in one of the three encodings, which is what makes a sequence the encoding of its text.
 
 Chunks and units repeat, so each worker keeps bounded caches from them to whatever form of their ids is
-wanted; forms of a text are joins of those of its chunks. Chunks with signs outside ASCII and Latin-1, or
-with the tokenizer's special strings, go to the tokenizers library whole.
+wanted; forms of a text are joins of those of its chunks. The halves of a long unit are encoded by THREADS threads. Chunks
+with signs outside ASCII and Latin-1 are normalised and cut into units by the tokenizers library, long units are encoded
+as trees too; only chunks with the tokenizer's special strings go to the library whole.
 
 Cases: null text counts as empty and has no ids; a text of white space has none either; texts of any length
 are handled in memory proportional to one text. Rows repeat as they do in the input. Other columns aren't read.
@@ -24,6 +25,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,7 @@ from tidemark.llm.common import quoted
 LEAF_CHARS = 8192
 LEAF_BYTES = 2048
 WINDOW = 32
+THREADS = 2
 CACHE = 250_000  # entries of each generation of a cache; there are two
 
 #: The tokenizer's unit pattern for lower-cased ASCII and Latin-1: contractions, letters, a digit, other signs.
@@ -121,13 +124,22 @@ class Encoder:
         return _UNITS.findall(chunk.decode("latin-1"))
 
     def library(self, chunk: str) -> list[int]:
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        """A chunk of any script: normalised and cut into units by the library; long units are encoded as trees."""
+        if len(chunk) <= LEAF_BYTES or _SPECIAL in chunk:
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(chunk))
+        return [i for mapped, _ in cut for i in self._unit(mapped)]
 
     def ids(self, unit: str) -> list[int]:
-        mapped = unit if unit.isascii() else "".join(map(self.signs.__getitem__, unit.encode()))
+        return self._unit(unit if unit.isascii() else "".join(map(self.signs.__getitem__, unit.encode())))
+
+    def _unit(self, mapped: str) -> list[int]:
         if len(mapped) <= LEAF_BYTES:
             return [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return [t for _, t in self._merge_tree(mapped, 0, len(mapped))]
+        leaves = list(_leaves(0, len(mapped)))
+        with ThreadPoolExecutor(THREADS) as pool:  # all halves of the lowest level at once
+            made = dict(zip(leaves, pool.map(lambda ab: self._merged(mapped, *ab), leaves)))
+        return [t for _, t in self._merge_tree(mapped, 0, len(mapped), made)]
 
     def _merged(self, mapped: str, a: int, b: int) -> list[tuple[int, int]]:
         found, at = [], a
@@ -136,12 +148,12 @@ class Encoder:
             at += len(t.value)  # the last one's word end isn't text, but nothing follows it
         return found
 
-    def _merge_tree(self, mapped: str, a: int, b: int) -> list[tuple[int, int]]:
-        """(start, id) of mapped[a:b], for a unit that is encoded as if it ended at b."""
-        if b - a <= LEAF_BYTES:
-            return self._merged(mapped, a, b)
+    def _merge_tree(self, mapped: str, a: int, b: int, leaves: dict[tuple[int, int], list[tuple[int, int]]]) -> list[tuple[int, int]]:
+        """(start, id) of mapped[a:b], for a unit that is encoded as if it ended at b, from its encoded leaves."""
+        if (a, b) in leaves:
+            return leaves[a, b]
         mid = (a + b) // 2
-        left, right = self._merge_tree(mapped, a, mid), self._merge_tree(mapped, mid, b)
+        left, right = self._merge_tree(mapped, a, mid, leaves), self._merge_tree(mapped, mid, b, leaves)
         w = WINDOW
         while mid - w > a or mid + w < b:
             lo, hi = max(a, mid - w), min(b, mid + w)
@@ -157,6 +169,14 @@ class Encoder:
         return self._merged(mapped, a, b)
 
 
+def _leaves(a: int, b: int) -> Iterator[tuple[int, int]]:
+    if b - a <= LEAF_BYTES:
+        yield a, b
+    else:
+        yield from _leaves(a, (a + b) // 2)
+        yield from _leaves((a + b) // 2, b)
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One for each worker and file."""
