@@ -77,24 +77,36 @@ def venue_candidates(text: str | None) -> list[str]:
     return seen
 
 
+#: What no text may hold. Control signs but tab and line ends, the replacement sign, lone surrogates, non-characters.
+_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffd\ud800-\udfff\ufffe\uffff]")
+#: Kana and Han signs.
+_JAPANESE = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+
+
 def japanese(text: str) -> int:
-    return sum("぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" for c in text)
+    return len(_JAPANESE.findall(text))
+
+
+def reread(text: str, codec: str) -> str:
+    """The text that was meant if UTF-8 was read in another encoding; nothing if that can't be."""
+    return text.encode(codec, "replace").decode("utf-8", "replace") if _whole(text, codec) else ""
+
+
+def _whole(text: str, codec: str) -> bool:
+    try:
+        text.encode(codec).decode("utf-8")
+    except UnicodeError:
+        return False
+    return True
 
 
 def quality_issue(text: str | None) -> str | None:
-    """Why a text can't be right: forbidden code points, or UTF-8 that was read in another encoding; null if nothing is wrong."""
-    if not text:
-        return None
-    if any(c == "�" or "\ud800" <= c <= "\udfff" or c in "￾￿" or c < " " and c not in "\t\n\r" for c in text):
-        return "forbidden_unicode_codepoint"
-    for codec in V.MOJIBAKE_CODECS:
-        try:
-            repaired = text.encode(codec).decode("utf-8")
-        except UnicodeError:
-            continue
-        if repaired != text and japanese(repaired) >= max(4, japanese(text) + 4):
-            return "probable_utf8_mojibake"
-    return None
+    """Why a text can't be right: forbidden code points, or UTF-8 that was read in another encoding, which shows in
+    at least four Japanese signs more when it is read again; null if nothing is wrong."""
+    if not text or _FORBIDDEN.search(text):
+        return "forbidden_unicode_codepoint" if text else None
+    gained = max((japanese(reread(text, codec)) for codec in V.MOJIBAKE_CODECS), default=0) - japanese(text)
+    return "probable_utf8_mojibake" if gained >= 4 else None
 
 
 def _strings(name: str, f, kind: DataType = StringType()):
