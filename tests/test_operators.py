@@ -180,6 +180,14 @@ def test_sinks(spark, tmp_path):
     t = str(tmp_path / "t")
     sinks.replace_table(spark.range(5), t, ["id"])
     sinks.replace_table(spark.read.parquet(t).where("id > 2"), t)
+    import os
+
+    os.rename(t, f"{t}.old")  # broken off between the two renames, without and with a whole new table
+    assert spark.read.parquet(sinks.recovered(spark, t)).count() == 2
+    os.rename(t, f"{t}.old")
+    spark.range(9).write.parquet(f"{t}.new")
+    assert spark.read.parquet(sinks.recovered(spark, t)).count() == 9
+    sinks.replace_table(spark.read.parquet(t).where("id in (3, 4)"), t)
     assert spark.read.parquet(t).count() == 2
     p = str(tmp_path / "x.json")
     assert sinks.write_json({"b": 1, "a": "あ"}, p) and not sinks.write_json({"a": "あ", "b": 1}, p)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.classify import priority
@@ -14,12 +14,25 @@ def event_key(df: DataFrame, date: str = "event_date", venue: str = "venue_name"
     return df.withColumn("event_key", group_key(F.col(date), key_part_udf(F.col(venue)), key_part_udf(F.col(artist))))
 
 
+def _place(df: DataFrame, record_id: str, updated: str, source: str, rank: str | None) -> Column:
+    """What orders a key's records: the best source, then the oldest update, then the least id."""
+    best = F.col(rank) if rank else priority(F.col(source))
+    return F.struct(best.alias("place"), F.col(updated).alias("updated"), F.col(record_id).cast("string").alias("id"))
+
+
+def displayed(df: DataFrame, keys: list[str], record_id: str = "record_id", updated: str = "updated_at_utc", source: str = "source_id", rank: str | None = None) -> DataFrame:
+    """One row a key: its best record as ``display``. Combined on each task before records move, so a key may have any number [W08 A23]."""
+    rows = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rows), _place(df, record_id, updated, source, rank)).alias("display"))
+
+
 def consolidated(df: DataFrame, keys: list[str], record_id: str = "record_id", updated: str = "updated_at_utc", source: str = "source_id", rank: str | None = None) -> DataFrame:
-    """One row a key: the record of the best source (then the oldest update, then the least id) as ``display``, and all
-    of the key's records in that order as ``supporting_sources``."""
-    place = F.col(rank) if rank else priority(F.col(source))
+    """One row a key: its best record as ``display``, and all of the key's records, best first, as ``supporting_sources``.
+
+    The list is one row of the result, so a key must have as many records as a row holds: those of one event, not of a
+    whole corpus. ``displayed`` gives the first part alone, for keys of any size."""
     rows = [c for c in df.columns if c not in keys]
-    member = F.struct(place.alias("place"), F.col(updated).alias("__updated"), F.col(record_id).cast("string").alias("__id"), F.struct(*rows).alias("record"))
+    member = F.struct(_place(df, record_id, updated, source, rank).alias("place"), F.struct(*rows).alias("record"))
     both = df.groupBy(*keys).agg(F.array_sort(F.collect_list(member)).alias("members"))
     return both.select(*keys, F.col("members")[0]["record"].alias("display"), F.transform("members", lambda m: m["record"]).alias("supporting_sources"))
 

@@ -1,4 +1,4 @@
-"""Writers: tables, documents and exports [K01 K06-K09 K11-K14 F40 F45]."""
+"""Writers: tables, documents and exports [K01 K06-K09 K12-K14 F40 F45]."""
 
 from __future__ import annotations
 
@@ -11,19 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _paths(spark: SparkSession, path: str):
+    """The file system of a table, and the places of the table, of a new one and of the one before."""
+    jvm = spark.sparkContext._jvm
+    places = [jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old")]
+    return places[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *places
+
+
+def recovered(spark: SparkSession, path: str) -> str:
+    """path, after a replacement that broke off has been ended: the new table if it was whole, else the one before [K01]."""
+    fs, target, fresh, old = _paths(spark, path)
+    if not fs.exists(target):
+        whole = fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh, "_SUCCESS"))
+        if whole or fs.exists(old):
+            fs.rename(fresh if whole else old, target)
+    return path
+
+
 def replace_table(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Writes df as the table at path, sorted within files so that range filters skip row groups [K01].
 
-    df may read the table it replaces: it is written beside it first, and swapped in by the file system.
+    df may read the table it replaces: it is written beside it first, and swapped in by the file system. The table
+    before stays as path.old until the swap is done; ``recovered`` ends a swap that broke off between its two renames.
     """
     spark = df.sparkSession
     made = df.sortWithinPartitions(*order) if order else df
     made.write.mode("overwrite").parquet(f"{path}.new")
-    jvm = spark.sparkContext._jvm
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
+    fs, target, fresh, old = _paths(spark, path)
     if fs.exists(target):
+        fs.delete(old, True)
         fs.rename(target, old)
     if not fs.rename(fresh, target):
         raise OSError(f"{path} can't be put in place")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.merge import upsert
-from tidemark.operators.sinks import replace_table
+from tidemark.operators.sinks import recovered, replace_table
 
 
 def merging(table: str, key: str, now: Callable[[], str], sequence: str | None = None, compare: tuple[str, ...] = ("data_hash",)) -> Callable[[DataFrame, int], None]:
@@ -18,7 +18,7 @@ def merging(table: str, key: str, now: Callable[[], str], sequence: str | None =
     def merge(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        kept = batch.sparkSession.read.parquet(table)
+        kept = batch.sparkSession.read.parquet(recovered(batch.sparkSession, table))
         made = upsert(kept, batch, key, now(), compare, sequence=sequence)
         replace_table(made.drop("change"), table, [key])
 
