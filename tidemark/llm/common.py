@@ -47,8 +47,24 @@ def among(df: DataFrame, listed: DataFrame, key: str, spread: str) -> DataFrame:
     if 16 * listed.count() <= BROADCAST_BYTES:
         return df.join(F.broadcast(listed), key, "left_semi")
     part = unused(df, "__part")
-    parts = listed.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias(part))
-    return df.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("long")).join(parts, [key, part], "left_semi").drop(part)
+    return df.withColumn(part, _part(spread)).join(_in_parts(listed, part), [key, part], "left_semi").drop(part)
+
+
+def told(df: DataFrame, known: DataFrame, key: str, spread: str) -> DataFrame:
+    """df with the columns of known, which has one row of longs at most for a key; null where it has none. Broadcast
+    or dealt as in ``among``."""
+    if 16 * len(known.columns) * known.count() <= BROADCAST_BYTES:
+        return df.join(F.broadcast(known), key, "left")
+    part = unused(df, "__part")
+    return df.withColumn(part, _part(spread)).join(_in_parts(known, part), [key, part], "left").drop(part)
+
+
+def _part(spread: str) -> Column:
+    return F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("long")
+
+
+def _in_parts(df: DataFrame, part: str) -> DataFrame:
+    return df.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
 
 @contextmanager

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, quoted, unused
+from tidemark.llm.common import BROADCAST_BYTES, checkpointed, quoted, unused
 
 SEED = 42
 SHINGLE = 3
@@ -142,15 +142,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """What keep_one keeps of docs, given the label of each of its rows: found(id, text_hash, label)."""
-    best = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("b"))
+    """What keep_one keeps of docs, given the label of each of its rows: found(id, text_hash, label). What goes is listed
+    and left out, so the texts aren't shuffled while that list's counted size allows a broadcast."""
+    found = checkpointed(found.select("id", "text_hash", "label"))
     asked, hashed = unused(docs, "__id"), unused(docs, "__hash")
-    chosen = checkpointed(best.select(F.col("b.id").alias(asked), F.col("b.text_hash").alias(hashed)))
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("b"))
+    chosen = best.select(F.col("b.id").alias("chosen_id"), F.col("b.text_hash").alias("chosen_hash"))
+    each = checkpointed(found.groupBy("id", "text_hash").agg(F.count("*").alias("n")))
+    stays = each["id"].eqNullSafe(chosen["chosen_id"]) & (each["text_hash"] == chosen["chosen_hash"])
+    gone = checkpointed(each.join(chosen, stays, "left_anti").select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")))
     rows = docs.withColumn(hashed, _text_hash(quoted(text_col).cast("string"))).withColumn(asked, quoted(id_col).cast("long"))
-    same = rows[asked].eqNullSafe(chosen[asked]) & (rows[hashed] == chosen[hashed])
-    kept = rows.join(chosen, same, "left_semi")
-    again = found.groupBy("id", "text_hash").count().where(F.col("count") > 1)
-    if not again.isEmpty():
+    listed = gone.select(F.col("gone_id").alias(unused(docs, "__gone_id")), F.col("gone_hash").alias(unused(docs, "__gone_hash")))
+    same = F.col(asked).eqNullSafe(F.col(listed.columns[0])) & (F.col(hashed) == F.col(listed.columns[1]))
+    small = 32 * gone.count() <= BROADCAST_BYTES
+    kept = rows.join(F.broadcast(listed) if small else listed, same, "left_anti")
+    if not each.where("n > 1").isEmpty():
         kept = kept.dropDuplicates([asked, hashed])
     return kept.select(*(quoted(c) for c in docs.columns))
 
