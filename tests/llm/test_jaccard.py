@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tests.llm import brute
-from tidemark.llm import jaccard
+from tidemark.llm import common, jaccard
 
 
 def shingles(text):
@@ -68,3 +68,29 @@ def test_stage_links_what_fingerprints_miss(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {g[0] for g in brute_groups(rows)}
     assert simhash.keep_one(docs).count() > len(kept)
+
+
+@pytest.mark.parametrize("room", [0, common.BROADCAST_BYTES])
+def test_listed_keys_whatever_their_size(spark, monkeypatch, room):
+    """One key has a third of all rows, and the list is broadcast or not."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", room)
+    keys = [0] * 400 + [k // 2 for k in range(800)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "at long, key long")
+    counted = rows.groupBy("key").count().where("key % 3 = 0").select("key", "count").toDF("key", "n")
+    known = counted.selectExpr("key", "n as label")
+    asked = sorted(i for i, k in enumerate(keys) if k % 3 == 0)
+    for found in (common.among_counted(rows, counted, "key", "at"), common.among(rows, counted.select("key"), "key", "at")):
+        assert sorted(found.columns) == sorted(rows.columns)
+        assert sorted(r.at for r in found.collect()) == asked
+    told = {r.at: r.label for r in common.told(rows, known, "key", "at").collect()}
+    assert told == {i: keys.count(k) if k % 3 == 0 else None for i, k in enumerate(keys)}
+    assert common.among_counted(rows, counted.limit(0), "key", "at").count() == 0
+
+
+def test_what_goes_is_left_out_whatever_its_size(spark, monkeypatch):
+    from tidemark.llm import simhash
+
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0)
+    rows = [(None, "a b"), (None, "a b"), (2, "a b"), (2, "a b"), (3, None), (4, ""), (5, "c")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __gone_id string")
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [2, 3, 5]

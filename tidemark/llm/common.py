@@ -39,6 +39,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 #: What a side that is broadcast may hold, and into how many parts a key is dealt where it may hold more.
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
+#: A key is hot if more than one in HOT of the rows have it; so at most HOT keys are.
+HOT = 4096
 
 
 def among(df: DataFrame, listed: DataFrame, key: str, spread: str) -> DataFrame:
@@ -50,6 +52,21 @@ def among(df: DataFrame, listed: DataFrame, key: str, spread: str) -> DataFrame:
     return df.withColumn(part, _part(spread)).join(_in_parts(listed, part), [key, part], "left_semi").drop(part)
 
 
+def among_counted(df: DataFrame, counted: DataFrame, key: str, spread: str) -> DataFrame:
+    """The rows of df whose key is in counted(key, n), where n rows of df have the key; both columns are long. It is
+    broadcast if its counted size is within BROADCAST_BYTES; else it is joined by key, and only hot keys, at most
+    HOT, are dealt into parts by the column spread, so nothing is repeated for the others."""
+    rows, total = counted.agg(F.count("*"), F.sum("n")).first()
+    if 16 * rows <= BROADCAST_BYTES:
+        return df.join(F.broadcast(counted.select(key)), key, "left_semi")
+    part, parts = unused(df, "__part"), unused(df, "__parts")
+    sized = counted.select(key, F.ceil(F.col("n") * HOT / F.lit(total)).cast("long").alias(parts))
+    dealt = df.join(F.broadcast(sized.where(F.col(parts) > 1)), key, "left")
+    dealt = dealt.withColumn(part, F.pmod(F.xxhash64(spread), F.coalesce(F.col(parts), F.lit(1).cast("long")))).drop(parts)
+    listed = sized.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1)).alias(part))
+    return dealt.join(listed, [key, part], "left_semi").drop(part)
+
+
 def told(df: DataFrame, known: DataFrame, key: str, spread: str) -> DataFrame:
     """df with the columns of known, which has one row of longs at most for a key; null where it has none. Broadcast
     or dealt as in ``among``."""
