@@ -9,8 +9,9 @@ are the file's 8-bit samples, so nothing is lost. ``read`` parses the stored fil
 and describes it. ``to_pcm`` turns any of these files into a 16-bit PCM file at another rate.
 
 Cases: null text counts as empty and is stored as one block of spaces; equal texts give equal values; a
-file that isn't a WAV of a known format gives null; batches are decoded in groups of bounded size, so very
-long rows need memory for themselves only. Other columns aren't read.
+file that isn't a WAV of a known format gives null; batches are worked on in parts of at most PART_BYTES of text
+or media, so the resampled samples, four times as many bytes, are held for one part or one very long row only.
+``read`` resamples where it checks, in one Python worker, so PCM isn't sent to another one. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -34,6 +36,8 @@ RATE = 8000
 PCM_RATE = 16000
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 GROUP_BLOCKS = 1 << 14
+#: Bytes of texts or media that are worked on at once.
+PART_BYTES = 1 << 20
 #: Zero crossings of the resampling filter on each side, and output samples that are made at once.
 TAPS, CHUNK = 16, 4096
 
@@ -190,13 +194,29 @@ def to_pcm(file: bytes | None, rate: int = PCM_RATE) -> bytes | None:
     return None if found is None else wav(resample(found[0], found[1], rate).tobytes(), PCM, rate, 2, 16)
 
 
+def parts(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, cut so that the column at ``place`` has PART_BYTES at most, or is one row's."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PART_BYTES, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def with_pcm(batches: Iterator[pa.RecordBatch], place: int, rate: int = PCM_RATE) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in parts, and one more column, made: the files at ``place`` as 16-bit PCM files."""
+    for batch in parts(batches, place):
+        made = pa.array([to_pcm(f.as_py(), rate) for f in batch.column(place)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "made"])
+
+
 def converted(media: DataFrame, media_col: str = "media", rate: int = PCM_RATE, out: str = "pcm") -> DataFrame:
     """media and one more column, out: each file of media_col as a 16-bit PCM file at ``rate``; null where it can't be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([to_pcm(f.as_py(), rate) for f in batch.column(place)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "made"])
+        return with_pcm(batches, place, rate)
 
     place, plain = media.columns.index(media_col), media.toDF(*(f"c{i}" for i in range(len(media.columns))))  # names may hold dots, or clash
     return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("made", BinaryType())])).toDF(*media.columns, unused(media, out))
@@ -211,7 +231,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(id, n_bytes, media): each text's bytes as the samples of a mu-law file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             rows = [payload(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([wav(p) for _, p in rows], pa.binary())], names=["id", "n_bytes", "media"])
 
@@ -261,11 +281,11 @@ _READ = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32
 def read(stored: DataFrame) -> DataFrame:
     """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of ``store``'s rows, from the stored files.
 
-    The file as resampled PCM is a column of its own on the way, from which the checksum is taken. A file that isn't
-    one has null for all that would be read from it."""
+    The file as resampled PCM is a column of its own on the way, made as ``converted`` makes it, from which the
+    checksum is taken. A file that isn't one has null for all that would be read from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in with_pcm(batches, 2):
             files, pcms = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             payloads = [(parse(f) or {}).get("data") for f in files]
             checks = _adpcm_checks([(p or b"")[: len(p or b"") // BLOCK * BLOCK] for p in payloads])
@@ -276,4 +296,4 @@ def read(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * len(_READ)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, _READ.values()))], names=["id", "n_bytes", *_READ])
 
-    return converted(stored.select("id", "n_bytes", "media")).mapInArrow(run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("id", "n_bytes", "media").mapInArrow(run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
