@@ -6,6 +6,8 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
+
 #: Fixed values from the HTML standard: elements without content, with raw text, that end an open p, and that flow inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template iframe xmp noembed noframes".split())
@@ -14,8 +16,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 MAX_DEPTH = 120
-#: Sibling lists of which so many pairs would be weighed are matched from both ends by label alone.
-SIBLING_PAIRS = 1 << 18
+#: Sibling lists of more pairs than SIBLING_PAIRS are matched row by row with numpy, to the same end. Of their table every so many-th
+#: row is kept, and no more weights than HELD_WEIGHTS.
+SIBLING_PAIRS, HELD_WEIGHTS = 1 << 12, 1 << 22
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTES = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
@@ -142,6 +145,19 @@ def _same(a: Node, b: Node) -> bool:
     return a.tag == b.tag and a.names == b.names
 
 
+def _common(xs: list[Node], ys: list[Node]) -> int:
+    """Length of the longest common subsequence of leaves; a bit of an integer for each of ys."""
+    spots: dict[int, int] = {}
+    for k, y in enumerate(ys):
+        spots[y.sig] = spots.get(y.sig, 0) | 1 << k
+    every = (1 << len(ys)) - 1
+    left = every
+    for x in xs:
+        met = left & spots.get(x.sig, 0)
+        left = (left + met | left - met) & every
+    return len(ys) - left.bit_count()
+
+
 class Matcher:
     """Simple tree matching: the largest order-preserving matching of two trees in which matched nodes have
     matched parents and equal labels. Children that are alike in structure at either end are matched at once,
@@ -160,7 +176,10 @@ class Matcher:
         if key not in self.known:
             if len(self.known) >= self.keep:
                 self.known.clear()
-            self.known[key] = 1 + sum(self.weight(x, y) for x, y in self._pairs(a.children, b.children))
+            if a.size == 1 + len(a.children) and b.size == 1 + len(b.children):
+                self.known[key] = 1 + _common(a.children, b.children)
+            else:
+                self.known[key] = 1 + sum(self.weight(x, y) for x, y in self._pairs(a.children, b.children))
         return self.known[key]
 
     def _pairs(self, xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
@@ -175,9 +194,7 @@ class Matcher:
             tail.append((xs[hi_x], ys[hi_y]))
         xs, ys = xs[lo:hi_x], ys[lo:hi_y]
         if len(xs) * len(ys) > SIBLING_PAIRS:
-            half = min(len(xs), len(ys)) // 2
-            sides = [*zip(xs[:half], ys[:half]), *zip(xs[len(xs) - half :], ys[len(ys) - half :])]
-            pairs += [(x, y) for x, y in sides if _same(x, y)]
+            pairs += self._middle(xs, ys)
         elif xs and ys:
             weights = [[self.weight(x, y) for y in ys] for x in xs]
             best = [[0] * (len(ys) + 1)]
@@ -198,6 +215,51 @@ class Matcher:
             pairs += reversed(middle)
         return pairs + tail[::-1]
 
+    def _middle(self, xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+        """What ``_pairs`` finds for long lists: siblings alike in structure are weighed once, a row of the table is made
+        at once, and rows between kept ones are made again on the way back, so space grows with one list's length."""
+        kinds = {y.sig: y for y in reversed(ys)}
+        place = {sig: k for k, sig in enumerate(kinds)}
+        column, held = np.array([place[y.sig] for y in ys]), {}
+
+        def weights(x: Node) -> np.ndarray:
+            if x.sig not in held:
+                if len(held) * len(kinds) >= HELD_WEIGHTS:
+                    held.clear()
+                held[x.sig] = np.array([self.weight(x, y) for y in kinds.values()])
+            return held[x.sig][column]
+
+        def following(above: np.ndarray, w: np.ndarray) -> np.ndarray:
+            row = above.copy()
+            np.maximum(row[1:], np.where(w > 0, above[:-1] + w, 0), out=row[1:])
+            return np.maximum.accumulate(row)
+
+        step = int(len(xs) ** 0.5) + 1
+        row, kept = np.zeros(len(ys) + 1, dtype=np.int64), []
+        for i, x in enumerate(xs):
+            if i % step == 0:
+                kept.append(row)
+            row = following(row, weights(x))
+        i, j, found = len(xs), len(ys), []
+        while kept:
+            rows = [kept.pop()]
+            first = len(kept) * step
+            for x in xs[first:i]:
+                rows.append(following(rows[-1], weights(x)))
+            while i > first and j:
+                above, now, w = rows[i - 1 - first], rows[i - first], weights(xs[i - 1])
+                while j:  # as far as the row leads to the left
+                    if w[j - 1] and now[j] == above[j - 1] + w[j - 1]:
+                        found.append((xs[i - 1], ys[j - 1]))
+                        j -= 1
+                        break
+                    if now[j] == above[j]:
+                        break
+                    j -= 1
+                i -= 1
+            i = first
+        return found[::-1]
+
     def align(self, a: Node, b: Node) -> dict[int, int]:
         """Number of each matched node of a to that of b. Both must be numbered."""
         if not _same(a, b):

@@ -166,7 +166,7 @@ def _with(pages: DataFrame, told: DataFrame) -> DataFrame:
 def references(pages: DataFrame) -> DataFrame:
     """(host, reference): one page of each host that has one with content."""
     there = pages.where(F.length("html") > 0)
-    quarter = checkpointed(there.groupBy("host").agg(F.percentile_approx(F.length("html"), 0.25, 1000).alias("quarter")))
+    quarter = checkpointed(there.groupBy("host").agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY length(html))").cast("long").alias("quarter")))
     near = F.struct(F.abs(F.length("html") - F.col("quarter")).alias("off"), F.col("page_id"), F.xxhash64("html"))
     return _with(there, quarter).groupBy("host").agg(F.min_by("html", near).alias("reference"))
 
